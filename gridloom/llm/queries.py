@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import markup
+from pyspark.sql import functions as F
+
+from gridloom.llm import distinctive, encode, markup
 from gridloom.sources.tables import table
 
 
@@ -17,5 +19,25 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return parts.select("page_id", "field", "kind", "content")
 
 
-QUERIES = {"p3_found": p3_found}
+def p6_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Every term of both fields with its counts and its score, rounded to six digits."""
+    a = distinctive.score_terms(table(spark, sf, "final_gg"), "driver_id", "first_1000_words").withColumn("field", F.lit("first_1000_words"))
+    b = distinctive.score_terms(table(spark, sf, "drivers_teams"), "rec_id", "teams").withColumn("field", F.lit("teams"))
+    return a.unionByName(b).select("field", "rec_key", "term", "tf", "df", F.round("score", 6).alias("score"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms that mark few records and this one strongly: scored by the mixture, then held against the exact counts."""
+    rows = p6_scores(spark, sf).where("score is not null")
+    few = (F.col("field") == "first_1000_words") & (F.col("tf") >= 5) & (F.col("df") <= 3)
+    shared = (F.col("field") == "teams") & F.col("df").between(2, 3)
+    return rows.where(few | shared).select("field", "rec_key", "term")
+
+
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of every document's whole text."""
+    return encode.encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_scores": p6_scores, "p7_ids": p7_ids}
 ORACLE: dict[str, str] = {}
