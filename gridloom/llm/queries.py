@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from gridloom.llm import distinctive, encode, markup
+from gridloom.llm import canonical, distinctive, encode, markup
 from gridloom.sources.tables import table
 
 
@@ -19,6 +19,15 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return parts.select("page_id", "field", "kind", "content")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The entry that each typed nationality and birth place means, 0 where the list has none."""
+    nations, pages = table(spark, sf, "nationality_ref"), table(spark, sf, "spark")
+    a = canonical.map_nationalities(table(spark, sf, "drivers_teams"), "rec_id", "nationality", nations, "drivers_teams.nationality")
+    b = canonical.map_nationalities(pages, "page_id", "nationality_wiki", nations, "spark.nationality_wiki")
+    c = canonical.map_places(pages, "page_id", "birth_place_wiki", table(spark, sf, "place_ref"), nations, "spark.birth_place_wiki")
+    return a.unionByName(b).unionByName(c)
+
+
 def p6_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every term of both fields with its counts and its score, rounded to six digits."""
     a = distinctive.score_terms(table(spark, sf, "final_gg"), "driver_id", "first_1000_words").withColumn("field", F.lit("first_1000_words"))
@@ -39,5 +48,5 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_scores": p6_scores, "p7_ids": p7_ids}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_scores": p6_scores, "p7_ids": p7_ids}
 ORACLE: dict[str, str] = {}
