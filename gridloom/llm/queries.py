@@ -6,10 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from gridloom.llm import canonical, distinctive, encode, markup
+from gridloom.llm import canonical, distinctive, encode, markup, variants
 from gridloom.sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every two spellings of one organisation."""
+    return variants.pairs(variants.link(table(spark, sf, "team_names")))
+
+
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Each spelling with its class and the number of its links."""
+    return variants.classes(variants.link(table(spark, sf, "team_names")))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Visible lines of marked-up data-box values, and headings, items, code and formulas of the article texts."""
     pages = table(spark, sf, "spark").select("page_id", "text", "teams_wiki", "birth_place_wiki").dropDuplicates(["page_id"])
@@ -48,5 +58,5 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_scores": p6_scores, "p7_ids": p7_ids}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_scores": p6_scores, "p7_ids": p7_ids}
 ORACLE: dict[str, str] = {}
