@@ -1,10 +1,12 @@
 """Free-typed values mapped to the entries of a reference list, or reported as unmatched.
 
-Typed values are cleaned of markup and folded.  Their distinct forms are
-joined with the names of the list by a prefix-filtered q-gram set-similarity
-join (rarest q-grams first, length and positional filters, exact Jaccard); the
-best candidate within a length-dependent edit distance is kept, and a hint
-beside the name (the country of a place) decides between entries of one name.
+Typed values are cleaned of markup and folded.  They are joined with the names
+of the list by a prefix-filtered q-gram set-similarity join (rarest q-grams
+first, length and positional filters, exact Jaccard); the best candidate
+within a length-dependent edit distance is kept, and a hint beside the name
+(the country of a place) decides between entries of one name.  A list of at
+most ``LIST_MOST`` entries is indexed on every worker, so the values are never
+shuffled for it; ``match_large`` does the same join for a list of any size.
 
 Defined results: null and blank values give no row; a value that no entry
 matches, and words that say nothing (``unknown``, ``n/a``, ``?``) give
@@ -15,11 +17,12 @@ maps everything to 0.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.editdist import osa
@@ -120,18 +123,10 @@ def place_form(name: str) -> str:
     return re.sub(r"(?<=[a-z]{3})brueck\b", "bruck", f)
 
 
-def nation_names(entries: DataFrame) -> DataFrame:
-    """(ref_id, alias, exact) of a list of nations: demonym, country, code and everyday names."""
-    other = F.udf(lambda code: [flat(x) for x in OTHER_NAMES.get(code or "", "").split("|") if flat(x)], "array<string>")
-    fold_ = F.udf(lambda x: flat(x) if x else None)
-    names = F.array_distinct(F.concat(F.array(*(fold_(c) for c in ("demonym", "country", "code"))), other("code")))
-    return entries.select("ref_id", F.explode(names).alias("alias")).where("alias is not null and alias <> ''").groupBy("alias").agg(F.min("ref_id").alias("ref_id"))
-
-
-def most_edits(n: int, loose: bool, seen: int = 1) -> int:
-    """Edits allowed for a name of ``n`` characters whose form ``seen`` rows share."""
-    if loose:  # long invented names; a form met once may hold three slips, one met again is rarely all slips
-        return 1 if n <= 6 else 2 if n <= 13 and seen > 1 or n <= 9 else 3
+def most_edits(n: int, loose: bool) -> int:
+    """Edits allowed for a name of ``n`` characters; ``loose`` for the long names of places."""
+    if loose:
+        return 1 if n <= 6 else 2 if n <= 13 else 3
     return 0 if n <= 3 else 1 if n <= 9 else 2
 
 
@@ -139,80 +134,170 @@ NATION_SIM = 0.3  # least Jaccard similarity of q-gram sets
 PLACE_SIM = 0.3
 
 
-def match_names(values: DataFrame, names: DataFrame, sim: float, loose: bool) -> DataFrame:
-    """(value, alias, sim, d): the names within the allowed edits of each distinct value, by the set join.
+class NameIndex:
+    """Prefix-filter index over the names of a bounded list.
+
+    Any fixed order of q-grams keeps the join exact; this one takes their
+    rarity in the list, q-grams that the list lacks first.
+    """
+
+    def __init__(self, names: list[str], sim: float, loose: bool) -> None:
+        self.sim, self.loose = sim, loose
+        self.df: dict[str, int] = {}
+        sets = {n: grams(n) for n in dict.fromkeys(names)}
+        for g in sets.values():
+            for x in g:
+                self.df[x] = self.df.get(x, 0) + 1
+        self.post: dict[str, list[tuple[str, int, int]]] = {}
+        self.sets = sets
+        for n, g in sets.items():
+            for pos, x in enumerate(self._prefix(g)):
+                self.post.setdefault(x, []).append((n, len(g), pos))
+        self.kept: dict[str, list[tuple[int, float, str]]] = {}
+
+    def _prefix(self, g: frozenset[str]) -> list[str]:
+        order = sorted(g, key=lambda x: (self.df.get(x, 0), x))
+        return order[: len(g) - math.ceil(len(g) * self.sim - 1e-9) + 1]
+
+    def match(self, value: str) -> list[tuple[int, float, str]]:
+        """(edits, -similarity, name) of every name within the allowed edits, best first."""
+        if value in self.kept:
+            return self.kept[value]
+        g = grams(value)
+        n, best = len(g), {}
+        for pos, x in enumerate(self._prefix(g)):
+            for name, m, at in self.post.get(x, ()):
+                if name in best or m < self.sim * n - 1e-9 or n < self.sim * m - 1e-9:
+                    continue
+                need = math.ceil(self.sim / (1 + self.sim) * (n + m) - 1e-9)
+                if min(n - pos, m - at) >= need:
+                    best[name] = m
+        out = []
+        for name, m in best.items():
+            common = len(g & self.sets[name])
+            sim = common / (n + m - common)
+            if sim >= self.sim - 1e-9:
+                most = most_edits(max(len(value), len(name)), self.loose)
+                d = osa(value, name, most)
+                if d <= most:
+                    out.append((d, -sim, name))
+        out.sort()
+        if len(self.kept) < 50_000:
+            self.kept[value] = out
+        return out
+
+
+def grams(text: str, q: int = 2) -> frozenset[str]:
+    padded = f"^{text}$"
+    return frozenset(padded[i : i + q] for i in range(max(1, len(padded) - q + 1)))
+
+
+LIST_MOST = 50_000  # entries of a reference list; it is sent to every worker
+
+
+def read_list(entries: DataFrame, *columns: str, most: int = LIST_MOST) -> list:
+    """The rows of a reference list, which must not exceed ``most``."""
+    rows = entries.select(*columns).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the reference list has more than {most} entries; map it with match_large()")
+    return rows
+
+
+def match_large(values: DataFrame, names: DataFrame, sim: float, loose: bool) -> DataFrame:
+    """(value, alias, sim, d) for a list of any size: the same join as shuffles in the JVM.
 
-    ``values`` has ``value`` in as many rows as it is met, ``names`` has ``alias``; both folded.
+    ``values`` has ``value``, ``names`` has ``alias``; both folded.
     """
-    values = values.groupBy("value").agg(F.count("*").alias("seen"))
-    left = values.select(F.concat(F.lit("v"), "value").alias("id"), qgrams("value").alias("toks"))
+    left = values.select("value").distinct().select(F.concat(F.lit("v"), "value").alias("id"), qgrams("value").alias("toks"))
     right = names.select("alias").distinct().select(F.concat(F.lit("n"), "alias").alias("id"), qgrams("alias").alias("toks"))
 
     @F.pandas_udf("int")
-    def distance(a: pd.Series, b: pd.Series, seen: pd.Series) -> pd.Series:
-        """Edits, or -1 where they exceed what is allowed."""
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
-        for x, y, n in zip(a, b, seen):
-            most = most_edits(max(len(x), len(y)), loose, n)
+        for x, y in zip(a, b):
+            most = most_edits(max(len(x), len(y)), loose)
             d = osa(x, y, most)
             out.append(d if d <= most else -1)
         return pd.Series(out, dtype="int32")
 
     pairs = jaccard_join(left, right, sim).select(F.substring("ida", 2, 1 << 20).alias("value"), F.substring("idb", 2, 1 << 20).alias("alias"), "sim")
-    return pairs.join(values, "value").withColumn("d", distance("value", "alias", "seen")).where("d >= 0").drop("seen")
+    return pairs.withColumn("d", distance("value", "alias")).where("d >= 0")
+
+
+def nation_index(rows: list) -> tuple[NameIndex, dict[str, int]]:
+    """The index of a list of nations (demonym, country, code, everyday names) and the entry of each name."""
+    entry: dict[str, int] = {}
+    for r in sorted(rows, key=lambda r: r["ref_id"]):
+        for x in (r["demonym"], r["country"], r["code"], *OTHER_NAMES.get(r["code"] or "", "").split("|")):
+            if x and flat(x):
+                entry.setdefault(flat(x), r["ref_id"])
+    return NameIndex(list(entry), NATION_SIM, loose=False), entry
+
+
+def typed_values(df: DataFrame, key: str, field: str, name: str) -> DataFrame:
+    """(field, rec_id, raw) of the non-blank values, one per key."""
+    rows = df.select(F.lit(name).alias("field"), F.col(key).cast("bigint").alias("rec_id"), F.col(field).cast("string").alias("raw"))
+    return rows.where(F.col("rec_id").isNotNull() & F.col("raw").rlike(r"\S")).dropDuplicates(["rec_id"])
 
 
-def map_nationalities(df: DataFrame, key: str, field: str, entries: DataFrame, name: str) -> DataFrame:
-    """(field, rec_id, ref_id) for each non-blank value."""
+def _mapped(typed: DataFrame, choose) -> DataFrame:
+    """(field, rec_id, ref_id): ``choose`` gives the entry of a raw value, or None for no row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(k, f) for k, raw in zip(b["rec_id"], b["raw"]) if (f := clean_nationality(raw)) is not None]
-            yield pd.DataFrame({"rec_id": pd.Series([k for k, _ in out], dtype="int64"), "forms": pd.Series([f for _, f in out], dtype="object")})
-
-    rows = df.select(F.col(key).cast("bigint").alias("rec_id"), F.col(field).cast("string").alias("raw")).where(F.col("rec_id").isNotNull() & F.col("raw").rlike(r"\S")).dropDuplicates(["rec_id"])
-    forms = rows.mapInPandas(run, "rec_id bigint, forms array<string>")
-    names = nation_names(entries)
-    flat_ = forms.select("rec_id", F.posexplode_outer("forms").alias("pos", "value"))
-    best = match_names(flat_.where("value is not null").select("value"), names, NATION_SIM, loose=False).join(names, "alias")
-    best = best.groupBy("value").agg(F.min(F.struct("d", (-F.col("sim")).alias("s"), "ref_id")).alias("m")).select("value", "m.d", "m.ref_id")
-    found = flat_.join(best, "value", "left").groupBy("rec_id").agg(F.min(F.when(F.col("ref_id").isNotNull(), F.struct("d", "pos", "ref_id"))).alias("m"))
-    return found.select(F.lit(name).alias("field"), "rec_id", F.coalesce("m.ref_id", F.lit(0)).cast("bigint").alias("ref_id"))
-
-
-def country_codes(spark: SparkSession, entries: DataFrame, most: int = 2000) -> dict[str, str]:
-    """Folded name -> code of a list of nations that has at most ``most`` entries."""
-    rows = entries.select("demonym", "country", "code").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"the list of nations has more than {most} entries")
+            out = [(f, k, r) for f, k, raw in zip(b["field"], b["rec_id"], b["raw"]) if (r := choose(raw)) is not None]
+            yield pd.DataFrame(out, columns=["field", "rec_id", "ref_id"]).astype({"field": "object", "rec_id": "int64", "ref_id": "int64"})
+
+    return typed.mapInPandas(run, "field string, rec_id bigint, ref_id bigint")
+
+
+def map_nationalities(typed: DataFrame, entries: DataFrame) -> DataFrame:
+    """(field, rec_id, ref_id) for each non-blank value of :func:`typed_values` rows."""
+    index, entry = nation_index(read_list(entries, "ref_id", "demonym", "country", "code"))
+
+    def choose(raw: str) -> int | None:
+        forms = clean_nationality(raw)
+        if forms is None:
+            return None
+        found = [(d, pos, s, entry[name]) for pos, form in enumerate(forms) for d, s, name in index.match(form)[:3]]
+        return min(found)[3] if found else 0
+
+    return _mapped(typed, choose)
+
+
+def map_places(typed: DataFrame, entries: DataFrame, nations: DataFrame) -> DataFrame:
+    """(field, rec_id, ref_id) for each non-blank birth place of :func:`typed_values` rows."""
+    codes = country_codes(read_list(nations, "demonym", "country", "code"))
+    towns: dict[str, list[tuple[int, str, str]]] = {}
+    for r in read_list(entries, "ref_id", "place", "region", "code", "local_name"):
+        for x in (r["place"], r["local_name"]):
+            if x and place_form(x):
+                towns.setdefault(place_form(x), []).append((r["ref_id"], flat(r["region"] or ""), r["code"] or ""))
+    index = NameIndex(list(towns), PLACE_SIM, loose=True)
+
+    def choose(raw: str) -> int | None:
+        place = clean_place(raw, codes)
+        if place is None:
+            return None
+        name, region, code = place
+        best = []
+        for d, s, alias in index.match(name) if name else ():
+            for ref_id, its_region, its_code in towns[alias]:
+                clash = bool(code) and code != its_code
+                if clash and d:  # a near name in another country is another town
+                    continue
+                other = bool(region) and osa(region, its_region, 3) > 3
+                best.append((d + 2 * clash + other, s, ref_id))
+        return min(best)[2] if best else 0
+
+    return _mapped(typed, choose)
+
+
+def country_codes(rows: list) -> dict[str, str]:
+    """Folded name -> code of a list of nations."""
     out: dict[str, str] = {}
     for r in rows:
         for x in (r["country"], r["demonym"], r["code"], *OTHER_NAMES.get(r["code"] or "", "").split("|")):
             if x and flat(x):
                 out.setdefault(flat(x), r["code"])
     return out
-
-
-def map_places(df: DataFrame, key: str, field: str, entries: DataFrame, nations: DataFrame, name: str) -> DataFrame:
-    """(field, rec_id, ref_id) for each non-blank birth place."""
-    codes = country_codes(df.sparkSession, nations)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(k, *p) for k, raw in zip(b["rec_id"], b["raw"]) if (p := clean_place(raw, codes)) is not None]
-            yield pd.DataFrame(out, columns=["rec_id", "value", "region", "code"]).astype({"rec_id": "int64", "value": "object", "region": "object", "code": "object"})
-
-    form = F.udf(lambda x: place_form(x) if x else None)
-    flat_ = F.udf(lambda x: flat(x) if x else "")
-    rows = df.select(F.col(key).cast("bigint").alias("rec_id"), F.col(field).cast("string").alias("raw")).where(F.col("rec_id").isNotNull() & F.col("raw").rlike(r"\S")).dropDuplicates(["rec_id"])
-    typed = rows.mapInPandas(run, "rec_id bigint, value string, region string, code string")
-    names = entries.select("ref_id", "code", flat_("region").alias("region"), F.explode(F.array(form("place"), form("local_name"))).alias("alias")).where("alias is not null and alias <> ''")
-    cand = match_names(typed.where("value <> ''").select("value"), names, PLACE_SIM, loose=True)
-    cand = cand.join(names.select("alias", "ref_id", F.col("code").alias("rcode"), F.col("region").alias("rregion")), "alias")
-    full = typed.join(cand, "value", "left")
-    clash = F.when((F.col("code") != "") & (F.col("code") != F.col("rcode")), 1).otherwise(0)
-    other = F.when((F.col("region") != "") & (F.levenshtein("region", "rregion") > 3), 1).otherwise(0)
-    # a near name in another country is another town
-    fits = F.col("ref_id").isNotNull() & ((clash == 0) | (F.col("d") == 0))
-    best = full.groupBy("rec_id").agg(F.min(F.when(fits, F.struct((F.col("d") + clash * 2 + other).alias("d"), (-F.col("sim")).alias("s"), F.col("ref_id")))).alias("m"))
-    return best.select(F.lit(name).alias("field"), "rec_id", F.coalesce("m.ref_id", F.lit(0)).cast("bigint").alias("ref_id"))

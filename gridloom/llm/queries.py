@@ -32,10 +32,10 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """The entry that each typed nationality and birth place means, 0 where the list has none."""
     nations, pages = table(spark, sf, "nationality_ref"), table(spark, sf, "spark")
-    a = canonical.map_nationalities(table(spark, sf, "drivers_teams"), "rec_id", "nationality", nations, "drivers_teams.nationality")
-    b = canonical.map_nationalities(pages, "page_id", "nationality_wiki", nations, "spark.nationality_wiki")
-    c = canonical.map_places(pages, "page_id", "birth_place_wiki", table(spark, sf, "place_ref"), nations, "spark.birth_place_wiki")
-    return a.unionByName(b).unionByName(c)
+    typed = canonical.typed_values(table(spark, sf, "drivers_teams"), "rec_id", "nationality", "drivers_teams.nationality")
+    typed = typed.unionByName(canonical.typed_values(pages, "page_id", "nationality_wiki", "spark.nationality_wiki"))
+    born = canonical.typed_values(pages, "page_id", "birth_place_wiki", "spark.birth_place_wiki")
+    return canonical.map_nationalities(typed, nations).unionByName(canonical.map_places(born, table(spark, sf, "place_ref"), nations))
 
 
 def p6_scores(spark: SparkSession, sf: str) -> DataFrame:
