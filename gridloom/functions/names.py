@@ -38,7 +38,7 @@ NICKNAMES: dict[str, tuple[str, ...]] = {
     kostja:konstantin kosta:konstantin len:leonard lenny:leonard leo:leopold/leonard renzo:lorenzo luke:lucas lutz:ludwig
     wiggerl:ludwig manny:manuel manolo:manuel marty:martin matt:matteo mo:maurice max:maximilian maxi:maximilian
     mike:michael mick:michael nat:nathaniel nate:nathaniel nick:nicholas nico:nicholas/nicholas ossie:oscar oskar:oscar
-    pat:patrick paddy:patrick pete:peter phil:philip pip:philip rafa:rafael ray:raymond reini:reinhard dick:richard
+    pat:patrick paddy:patrick pete:peter phil:philip pip:philip rafa:rafael ray:raymond reini:reinhard reiner:reinhard rainer:reinhard dick:richard
     rick:richard rich:richard bob:robert rob:robert bobby:robert rolli:roland sam:samuel sammy:samuel sigi:sigmund
     siggi:sigmund steve:stephen stef:stefan theo:theodore tom:thomas tommy:thomas tim:timothy tobi:tobias uli:ulrich
     val:valentin vic:victor vince:vincent walt:walter wally:walter bill:william will:william billy:william xavi:xavier
