@@ -6,10 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from gridloom.llm import canonical, distinctive, encode, markup, variants
+from gridloom.llm import canonical, distinctive, encode, markup, persons, variants
 from gridloom.sources.tables import table
 
 
+def p1_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Driver pages and the articles about the same person, each with a confidence."""
+    pages = table(spark, sf, "drivers").dropDuplicates(["driver_id"])
+    a = pages.select(F.col("driver_id").alias("id"), F.col("driver_name").alias("name"), F.col("birth_date").alias("date"), "nationality")
+    articles = table(spark, sf, "spark").dropDuplicates(["page_id"])
+    b = articles.select(F.col("page_id").alias("id"), F.col("title").alias("name"), F.col("birth_date_wiki").alias("date"), F.col("nationality_wiki").alias("nationality"), "text")
+    found = persons.match(a, b, table(spark, sf, "nationality_ref"))
+    return found.select(F.col("id_a").alias("driver_id"), F.col("id_b").alias("page_id"), F.round("confidence", 4).alias("confidence"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs with a confidence of one half or more."""
+    return p1_matches(spark, sf).where("confidence >= 0.5").select("driver_id", "page_id")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every two spellings of one organisation."""
     return variants.pairs(variants.link(table(spark, sf, "team_names")))
@@ -58,5 +73,5 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_scores": p6_scores, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_scores": p6_scores, "p7_ids": p7_ids}
 ORACLE: dict[str, str] = {}
