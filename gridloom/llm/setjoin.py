@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.common import as_col
+from gridloom.sources.tables import checkpoint
 
 
 def qgrams(text: Column | str, q: int = 2) -> Column:
@@ -42,8 +43,9 @@ def jaccard_join(left: DataFrame, right: DataFrame | None, t: float, id_: str =
     """
     both = left if right is None else left.select(id_, "toks").unionByName(right.select(id_, "toks"))
     ranks = both.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
-    a = _ordered(left, ranks, id_)
-    b = a if right is None else _ordered(right, ranks, id_)
+    # each side is read four times below; a checkpoint keeps the plan small
+    a = checkpoint(_ordered(left, ranks, id_), left.sparkSession)
+    b = a if right is None else checkpoint(_ordered(right, ranks, id_), left.sparkSession)
     cand = _prefixes(a, t, id_, "a").join(_prefixes(b, t, id_, "b"), "tok")
     if right is None:
         cand = cand.where("ida < idb")

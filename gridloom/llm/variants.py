@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.editdist import one_typo
 from gridloom.functions.names import GIVEN_NAMES, expand_given, fold, is_given
 from gridloom.llm.setjoin import jaccard_join, qgrams
+from gridloom.sources.tables import checkpoint
 
 #: kinds of business and their short forms; fixed values
 KINDS = {
@@ -129,6 +130,7 @@ def canonical_words(parsed: DataFrame) -> DataFrame:
         F.collect_set(F.when(F.col("kind") != "", F.col("kind"))).alias("kinds"),  # at most one per kind
         F.collect_set(F.when(F.length("given") > 0, F.substring("given", 1, 1))).alias("firsts"),  # at most one per letter
     )
+    words = checkpoint(words, parsed.sparkSession)
     pairs = jaccard_join(words.select(F.col("word").alias("id"), qgrams("word").alias("toks")), None, SIM)
 
     @F.pandas_udf("boolean")
@@ -147,13 +149,15 @@ def canonical_words(parsed: DataFrame) -> DataFrame:
 
 def link(df: DataFrame, id_: str = "name_id", field: str = "team_name") -> DataFrame:
     """(id, org, confidence): the organisation key of every name."""
-    parsed = _parsed(df, id_, field)
-    roots = canonical_words(parsed)
+    spark = df.sparkSession
+    parsed = checkpoint(_parsed(df, id_, field), spark)
+    roots = checkpoint(canonical_words(parsed), spark)
     # a slip of a slip: one more hop reaches the supported word
     far = roots.alias("a").join(roots.alias("b"), F.col("a.root") == F.col("b.word"), "left").select(F.col("a.word").alias("word"), F.coalesce("b.root", "a.root").alias("root"))
     words = parsed.select("id", F.posexplode("keys").alias("pos", "word")).join(far, "word", "left")
     keys = words.groupBy("id").agg(F.array_sort(F.collect_list(F.coalesce("root", "word"))).alias("keys"))
     names = parsed.drop("keys").join(keys, "id", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
+    names = checkpoint(names, spark)
     single = F.size("keys") == 1
 
     # partners: an initial stands for the partner of that letter in the firm that shares the other names
@@ -223,6 +227,7 @@ def _main_form(given: str, people: dict[str, set[str]], weight: dict[str, int])
 
 def pairs(linked: DataFrame) -> DataFrame:
     """(name_id_a, name_id_b) of every two names of one organisation, smaller id first."""
+    linked = checkpoint(linked.select("org", "id"), linked.sparkSession)
     a = linked.select("org", F.col("id").alias("name_id_a"))
     b = linked.select("org", F.col("id").alias("name_id_b"))
     return a.join(b, "org").where("name_id_a < name_id_b").select("name_id_a", "name_id_b")
