@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from gridloom.llm import canonical, distinctive, encode, markup, persons, variants
+from gridloom.llm import canonical, distinctive, encode, lang, markup, packing, persons, variants
 from gridloom.sources.tables import table
 
 
@@ -73,5 +73,22 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_scores": p6_scores, "p7_ids": p7_ids}
+def p8_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text, or part of an oversized one, with its container of 2,048 tokens."""
+    sizes = packing.token_sizes(table(spark, sf, "documents"), "doc_id", "text")
+    return packing.pack(sizes, capacity=packing.CAPACITY)
+
+
+def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stretch of every document with its language, offsets and confidence, and the state of the label."""
+    rows = lang.label_segments(table(spark, sf, "documents"), "doc_id", "text", "lang")
+    return rows.withColumn("confidence", F.round("confidence", 4))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The stretches of documents whose label is missing or wrong, or whose text mixes languages."""
+    return p9_segments(spark, sf).where("state <> 'right'").select("doc_id", "seg_no", "lang")
+
+
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_scores": p6_scores, "p7_ids": p7_ids, "p8_packing": p8_packing, "p9_found": p9_found, "p9_segments": p9_segments}
 ORACLE: dict[str, str] = {}
