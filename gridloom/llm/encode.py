@@ -15,8 +15,8 @@ the open piece is carried into the next one.
 
 Defined results: null and empty texts give an empty list; special-token
 strings in a text are ordinary text; whole texts are encoded.  Rows that
-repeat a document id with equal text are encoded once and returned once per
-row; further columns are ignored.
+repeat a document id with equal text each come out with its ids; rows without
+an id are left out; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -187,13 +187,13 @@ def encode_corpus(df: DataFrame, key: str, field: str, folder: str = TOKENIZER_D
         enc = encoding(folder, vocabulary)
         return pd.Series([join_chunks([(list(p["ids"]), p["tail"]) for p in row], enc) for row in parts])
 
-    rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(field).cast("string").alias("t"))
+    rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(field).cast("string").alias("t")).where("k is not null")
     full = rows.where(F.length("t") > 0)
     lists = full.mapInPandas(cut, "k bigint, pos int, digest binary, body string")
     book = lists.groupBy("digest").agg(F.first("body").alias("body")).mapInPandas(encode, "digest binary, ids array<int>, tail int")
     book = book.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     refs = lists.select("k", "pos", "digest", F.pmod(F.xxhash64("k"), F.lit(salt)).cast("int").alias("salt"))
-    joined = refs.join(book, ["digest", "salt"]).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("pos", "ids", "tail"))).alias("parts"))
+    joined = refs.join(book, ["digest", "salt"]).groupBy("k").agg(F.sort_array(F.collect_set(F.struct("pos", "ids", "tail"))).alias("parts"))
     ids = joined.select("k", F.pandas_udf(repair, "array<int>")("parts").alias("ids"))
     none: Column = F.array().cast("array<int>")
     return rows.select("k").join(ids, "k", "left").select(F.col("k").alias(key), F.coalesce("ids", none).alias("ids"))

@@ -91,4 +91,13 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_scores": p6_scores, "p7_ids": p7_ids, "p8_packing": p8_packing, "p9_found": p9_found, "p9_segments": p9_segments}
-ORACLE: dict[str, str] = {}
+_TOKENS = r"list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]+'))"
+_TERM_COUNTS = (
+    f"with g as (select distinct driver_id, first_1000_words as t from final_gg), r as (select distinct rec_id, teams as t from drivers_teams), "
+    f"a as (select driver_id as k, term, count(*) as tf from (select driver_id, unnest({_TOKENS.format('t')}) as term from g) group by all), "
+    f"b as (select rec_id::varchar as k, term, count(*) as tf from (select rec_id, unnest({_TOKENS.format('t')}) as term from r) group by all), "
+    "ad as (select term, count(*) as df from a group by term), bd as (select term, count(*) as df from b group by term) "
+)
+ORACLE: dict[str, str] = {
+    "p6_found": _TERM_COUNTS + "select 'first_1000_words' as field, k as rec_key, term from a join ad using (term) where tf >= 5 and df <= 3 union all select 'teams', k, term from b join bd using (term) where df between 2 and 3"
+}

@@ -48,7 +48,7 @@ KINDS = {
 }
 _KINDS = [(kind, re.compile(rf"(?<!\w)(?:{p})")) for kind, p in KINDS.items()]
 _LEGAL = re.compile(r"(?<!\w)(?:ltd|gmbh|co|inc|spa|s\.?a|ag|kg|plc|llc|team|the|equipe|ecurie)(?!\w)\.?")
-_JOINERS = frozenset({"and", "und", "et", "e", "y", "of"})
+_JOINERS = frozenset({"and", "und", "et", "of"})
 _PARTNERS = re.compile(r"&|\+|/| and | und |,.*,")
 
 SIM = 0.45  # least Jaccard similarity of bigram sets of two key words; one slip in a word of five or more letters stays above
