@@ -156,15 +156,15 @@ def encode_by_chunks(text: str | None) -> list[int]:
     return join_chunks([encode_chunk(c) for c in chunks(text)]) if text else []
 
 
-def encode_corpus(df: DataFrame, key: str, field: str, folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY, pieces: int = 0) -> DataFrame:
+def encode_corpus(df: DataFrame, key: str, field: str, folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids array<int>) of every row.
 
     Three shuffles: distinct chunks by their text's hash, ids back to the
     documents' chunk lists, chunk lists by document.  A chunk that a third of
-    the corpus shares is one row of the dictionary; its references are spread
-    over ``salt`` values, and the dictionary row is repeated for each.
+    the corpus shares is combined on the map side and encoded once; its many
+    references are 40-byte rows, and adaptive execution splits the join's
+    partition that holds them.
     """
-    salt = pieces or 16
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -191,9 +191,7 @@ def encode_corpus(df: DataFrame, key: str, field: str, folder: str = TOKENIZER_D
     full = rows.where(F.length("t") > 0)
     lists = full.mapInPandas(cut, "k bigint, pos int, digest binary, body string")
     book = lists.groupBy("digest").agg(F.first("body").alias("body")).mapInPandas(encode, "digest binary, ids array<int>, tail int")
-    book = book.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    refs = lists.select("k", "pos", "digest", F.pmod(F.xxhash64("k"), F.lit(salt)).cast("int").alias("salt"))
-    joined = refs.join(book, ["digest", "salt"]).groupBy("k").agg(F.sort_array(F.collect_set(F.struct("pos", "ids", "tail"))).alias("parts"))
+    joined = lists.select("k", "pos", "digest").join(book, "digest").groupBy("k").agg(F.sort_array(F.collect_set(F.struct("pos", "ids", "tail"))).alias("parts"))
     ids = joined.select("k", F.pandas_udf(repair, "array<int>")("parts").alias("ids"))
     none: Column = F.array().cast("array<int>")
     return rows.select("k").join(ids, "k", "left").select(F.col("k").alias(key), F.coalesce("ids", none).alias("ids"))
