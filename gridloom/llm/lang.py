@@ -23,6 +23,7 @@ segments.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -63,6 +64,7 @@ NO_LANGUAGE = frozenset("und xx mul zxx mis unknown none null n/a na ? - other m
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|[@#]\w+|\S+@\S+\.\w+")
 NAME_WEIGHT, MOST = 0.2, 6.0  # weight of capitalised words inside a sentence; bound of one word's score
+KEPT = 100_000  # words whose scores a worker remembers
 LEAST_WORDS = 3  # words that are no names in a stretch of its own
 
 _END = re.compile(r"[.!?…]+[\"”»«')]*(?=\s|$)|:\s|;\s|\n+|[\"”»]\s")
@@ -98,6 +100,24 @@ class Model:
     family: np.ndarray  # positive for germanic
     pairs: dict[tuple[str, str], np.ndarray]
     kept: dict[str, list[float]] = field(default_factory=dict)
+    bounded: dict[str, list[float]] = field(default_factory=dict)
+    names: dict[str, list[float]] = field(default_factory=dict)
+
+    def plain(self, word: str) -> list[float]:
+        """Scores of a word within their bound."""
+        if (hit := self.bounded.get(word)) is None:
+            hit = [min(MOST, max(-MOST, x)) for x in self.word(word)]
+            if len(self.bounded) < KEPT:
+                self.bounded[word] = hit
+        return hit
+
+    def name(self, word: str) -> list[float]:
+        """Scores of a word that looks like a name."""
+        if (hit := self.names.get(word)) is None:
+            hit = [NAME_WEIGHT * x for x in self.word(word)]
+            if len(self.names) < KEPT:
+                self.names[word] = hit
+        return hit
 
     def word(self, word: str) -> list[float]:
         """Score of each language for a word, in the order of ``LANGUAGES``."""
@@ -116,7 +136,7 @@ class Model:
                     w = self.pairs[min(lang, other), max(lang, other)][idx].sum() * k
                     rest += float(w) if lang < other else -float(w)
             out.append(s + rest / (len(own) - 1))
-        if len(self.kept) < 300_000:
+        if len(self.kept) < KEPT:
             self.kept[word] = out
         return out
 
@@ -192,20 +212,33 @@ def train(labelled: list[tuple[str, str]]) -> Model:
     return _fit_all([rows[i] for i in good], [langs[i] for i in good])
 
 
-def _name_words(text: str, words: list[re.Match]) -> list[bool]:
+def _change_cost(gap: str) -> float:
+    """The cost of a change of language at the text between two words."""
+    if "\n" in gap:
+        return BREAK
+    return BETWEEN if any(c in gap for c in ".!?…") else WITHIN - 3.0 if any(c in gap for c in ':;"”»«') else WITHIN
+
+
+_STARTERS = frozenset('.!?…:\n«„“"')
+
+
+def _name_words(words: list[re.Match], gaps: list[str]) -> list[bool]:
     """Which words look like names: capitalised inside a sentence, or before another such word at its start."""
-    letters = sum(len(m[0]) for m in words)
-    small = sum(1 for m in words for c in m[0] if c.islower())
-    if small < 0.5 * letters:  # all in capitals: case says nothing
+    joined = "".join(m[0] for m in words)
+    if sum(map(str.islower, joined)) < 0.5 * len(joined):  # all in capitals: case says nothing
         return [False] * len(words)
     caps = [m[0][0].isupper() for m in words]
-    first = [i == 0 or re.search(r"[.!?…:\n«„“\"]", text[words[i - 1].end() : m.start()]) is not None for i, m in enumerate(words)]
+    if not any(caps):
+        return caps
+    first = [i == 0 or (gap != " " and not _STARTERS.isdisjoint(gap)) for i, gap in enumerate(gaps)]
     inside = [c and not f for c, f in zip(caps, first)]
     return [c and (not f or (i + 1 < len(words) and inside[i + 1] and len(words[i][0]) > 1)) for i, (c, f) in enumerate(zip(caps, first))]
 
 
 def _absorb(path: list[int], names: list[bool]) -> list[int]:
     """Join stretches with fewer than ``LEAST_WORDS`` words other than names to the neighbour before, else after."""
+    if path.count(path[0]) == len(path):
+        return path
     runs: list[list[int]] = []  # state, words, telling words
     for s, name in zip(path, names):
         if runs and runs[-1][0] == s:
@@ -243,30 +276,23 @@ def segments(text: str | None, model: Model) -> list[tuple[int, int, str, float]
     words = list(_WORD.finditer(plain)) or list(_WORD.finditer(text))
     if not words:
         return []
-    cost: list[float] = []
-    names = _name_words(plain, words)
-    at = 0
-    for m in words:  # the cost of a change before each word
-        gap = text[at : m.start()]
+    gaps, at = [], 0
+    for m in words:
+        gaps.append(text[at : m.start()])
         at = m.end()
-        cost.append(BREAK if "\n" in gap else BETWEEN if re.search(r"[.!?…]", gap) else WITHIN - 3.0 if re.search(r"[:;\"”»«]", gap) else WITHIN)
-    n = len(LANGUAGES)
-    scores = []
-    for m, name in zip(words, names):
-        s = model.word(m[0].lower())
-        scores.append([NAME_WEIGHT * x for x in s] if name else [min(MOST, max(-MOST, x)) for x in s])
-    v = list(scores[0])
-    back: list[tuple[int, list[bool]]] = []
-    for e, c in zip(scores[1:], cost[1:]):
-        best = max(range(n), key=v.__getitem__)
-        edge = v[best] - c
-        moved = [x < edge for x in v]
-        v = [(edge if mv else x) + s for x, mv, s in zip(v, moved, e)]
-        back.append((best, moved))
-    state = max(range(n), key=v.__getitem__)
+    names = _name_words(words, gaps)
+    scores = [model.name(m[0].lower()) if name else model.plain(m[0].lower()) for m, name in zip(words, names)]
+    v = scores[0]
+    back: list[tuple[int, float, list[float]]] = []
+    for e, gap in zip(scores[1:], gaps[1:]):
+        top = max(v)
+        edge = top - (WITHIN if gap == " " else _change_cost(gap))
+        back.append((v.index(top), edge, v))
+        v = [(x if x >= edge else edge) + s for x, s in zip(v, e)]
+    state = v.index(max(v))
     path = [state]
-    for best, moved in reversed(back):
-        if moved[state]:
+    for best, edge, before in reversed(back):
+        if before[state] < edge:
             state = best
         path.append(state)
     path.reverse()
@@ -276,10 +302,10 @@ def segments(text: str | None, model: Model) -> list[tuple[int, int, str, float]
         j = i
         while j < len(path) and path[j] == path[i]:
             j += 1
-        total = np.sum(scores[i:j], axis=0)
-        rest = np.delete(total, path[i]).max()
-        sure = 1.0 / (1.0 + np.exp(-np.clip((total[path[i]] - rest) / np.sqrt(j - i), -30, 30)))
-        out.append((words[i].start(), words[j - 1].end(), LANGUAGES[path[i]], float(sure)))
+        total = [sum(column) for column in zip(*scores[i:j])]
+        own = total.pop(path[i])
+        sure = 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, (own - max(total)) / math.sqrt(j - i)))))
+        out.append((words[i].start(), words[j - 1].end(), LANGUAGES[path[i]], sure))
         i = j
     return out
 
