@@ -251,17 +251,24 @@ def _pieces(block: Column, radius: int = RADIUS) -> Column:
 
 
 def _keys(rows: DataFrame, side: str) -> DataFrame:
-    """Join keys of every record, see the module's text."""
-    rows = rows.withColumn("i", F.explode(_initials(rows)))
+    """(id, vector, key, far): hashed join keys of every record and the radius within each, see the module's text.
+
+    Two keys of one hash only add candidates, which are scored like all others.
+    """
     none = F.array().cast("array<string>")
     whole = F.when((F.col("y") > 0) & (F.col("m") > 0) & (F.col("d") > 0), _pieces(F.concat(F.lit("b"), F.concat_ws("-", "y", "m", "d")), WIDE)).otherwise(none)
-    year = F.when(F.col("y") > 0, _pieces(F.concat_ws("|", F.lit("e"), "i", "y"))).otherwise(none)
     mine, other = ("m", "n") if side == "a" else ("n", "m")
-    lone = F.when(F.col("y") == 0, _pieces(F.concat_ws("|", F.lit(mine), "i"))).otherwise(none)
-    any_ = _pieces(F.concat_ws("|", F.lit(other), "i"))
+
+    def by_initial(i: Column) -> Column:
+        year = F.when(F.col("y") > 0, _pieces(F.concat_ws("|", F.lit("e"), i, F.col("y")))).otherwise(none)
+        lone = F.when(F.col("y") == 0, _pieces(F.concat_ws("|", F.lit(mine), i))).otherwise(none)
+        return F.concat(year, lone, _pieces(F.concat_ws("|", F.lit(other), i)))
+
     same = F.when(F.length("given") > 1, F.array(F.concat_ws("|", F.lit("x"), "family", "given"))).otherwise(none)
-    keys = F.array_distinct(F.concat(whole, year, lone, any_, same))
-    return rows.select(F.col("id").alias(f"id_{side}"), F.col("sv").alias(f"sv_{side}"), F.explode(keys).alias("key")).distinct()
+    texts = F.concat(whole, F.flatten(F.transform("initials", by_initial)), same)
+    keys = F.array_distinct(F.transform(texts, lambda t: F.struct(F.xxhash64(t).alias("key"), F.when(t.startswith("b"), WIDE).otherwise(RADIUS).cast("tinyint").alias("far"))))
+    rows = rows.withColumn("initials", _initials(rows))
+    return rows.select(F.col("id").alias(f"id_{side}"), F.col("sv").alias(f"sv_{side}"), F.inline(keys))
 
 
 def match(left: DataFrame, right: DataFrame, nations: DataFrame, id_type: str = "string", least: float = 0.5) -> DataFrame:
@@ -272,9 +279,8 @@ def match(left: DataFrame, right: DataFrame, nations: DataFrame, id_type: str =
     """
     a = _records(left.select("id", "name", "date", "nationality", F.lit(None).cast("string").alias("text")), id_type, nations, article=False)
     b = _records(right.select("id", "name", "date", "nationality", "text"), "bigint", nations, article=True)
-    far = F.when(F.col("key").startswith("b"), WIDE).otherwise(RADIUS)
-    close = F.bit_count(F.col("sv_a").bitwiseXOR(F.col("sv_b"))) <= far
-    cand = _keys(a, "a").join(_keys(b, "b"), "key").where(close).select("id_a", "id_b").distinct()
+    close = F.bit_count(F.col("sv_a").bitwiseXOR(F.col("sv_b"))) <= F.col("far")
+    cand = _keys(a, "a").join(_keys(b, "b"), ["key", "far"]).where(close).select("id_a", "id_b").distinct()
     cols = ("family", "given", "y", "m", "d", "nation", "sv")
     full = cand.join(a.select(F.col("id").alias("id_a"), *(F.col(c).alias(f"a_{c}") for c in cols)), "id_a").join(b.select(F.col("id").alias("id_b"), *(F.col(c).alias(f"b_{c}") for c in cols)), "id_b")
 
