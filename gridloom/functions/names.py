@@ -43,7 +43,7 @@ NICKNAMES: dict[str, tuple[str, ...]] = {
     siggi:sigmund steve:stephen stef:stefan theo:theodore tom:thomas tommy:thomas tim:timothy tobi:tobias uli:ulrich
     val:valentin vic:victor vince:vincent walt:walter wally:walter bill:william will:william billy:william xavi:xavier
     jojo:joachim hugh:hugo chris:christopher kas:kaspar jürg:jurgen tavi:octavio ollie:olivier oli:olivier quique:enrico
-    rico:enrico pancho:francis bert:albert/hubert/lambert/gilbert/norbert hub:hubert norb:norbert moritz:maurice
+    rico:enrico pancho:francis bert:albert/hubert/lambert/gilbert/norbert hub:hubert norb:norbert nobby:norbert enzo:lorenzo/enrico/vincent kostya:konstantin moritz:maurice
     """.split()
     )
 }
