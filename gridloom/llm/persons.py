@@ -6,8 +6,9 @@ than the radius has bits, and two vectors within the radius agree on one piece
 at least, so an equality join on (block, piece number, piece) loses no such
 pair.  Blocks
 are what the two records must share anyway in one of these ways: the whole
-birth date; the first letter and the birth year; the first letter, where a
-birth year is missing; the whole name, where a date is wrong.  Candidates are
+birth date, with family names or with given names close; the first letter and
+the birth year; the first letter, where a birth year is missing; the whole
+name, where a date is wrong.  Candidates are
 scored field by field with Dice similarities, the weighted score is turned
 into a confidence by a calibrated logistic curve.
 
@@ -35,7 +36,8 @@ from gridloom.llm.canonical import NameIndex, clean_nationality, nation_index, r
 
 BITS = 64
 RADIUS = 7  # bits; one slip changes 6 at most
-WIDE = 12  # bits, within one whole birth date: two slips
+WIDE = 12  # bits of the family name, within one whole birth date: two slips
+GIVEN = 6  # bits of the given name, within one whole birth date: one slip
 
 MONTHS = {m: i // 2 + 1 for i, m in enumerate("january jan february feb march mar april apr may may june jun july jul august aug september sep october oct november nov december dec".split())} | {"sept": 9}
 
@@ -166,7 +168,7 @@ def given_score(a: str, b: str) -> float:
         return 0.85
     near = min(osa(x, y, 3) for x in expand_given(a) for y in expand_given(b))
     short = min(len(a), len(b))
-    return 0.9 if near == 1 else 0.75 if near == 2 and short >= 5 else 0.7 if near == 3 and short >= 7 else 0.0
+    return 0.9 if near == 1 else 0.75 if near == 2 and short >= 4 else 0.7 if near == 3 and short >= 7 else 0.0
 
 
 def date_score(a: tuple[int, int, int], b: tuple[int, int, int]) -> float:
@@ -199,7 +201,7 @@ def confidence(score: float) -> float:
     return 1.0 / (1.0 + math.exp(-SLOPE * (score - MIDDLE)))
 
 
-FIELDS = "family string, given string, y int, m int, d int, nation bigint, sv bigint"
+FIELDS = "family string, given string, y int, m int, d int, nation bigint, sv bigint, gvs array<bigint>"
 
 
 def _nation_id(index: NameIndex, entry: dict[str, int], *raws: str | None) -> int:
@@ -232,8 +234,8 @@ def _records(df: DataFrame, id_type: str, nations: DataFrame, article: bool) ->
                         when = own
                 if not when[0] and year:
                     when = (year, 0, 0)
-                out.append((i, family, given, *when, _nation_id(index, entry, nation, said), vector(family)))
-            yield pd.DataFrame(out, columns=["id", "family", "given", "y", "m", "d", "nation", "sv"]).astype({"family": "object", "given": "object", "y": "int32", "m": "int32", "d": "int32", "nation": "int64", "sv": "int64"})
+                out.append((i, family, given, *when, _nation_id(index, entry, nation, said), vector(family), sorted({vector(g) for g in expand_given(given)}) if len(given) > 1 else []))
+            yield pd.DataFrame(out, columns=["id", "family", "given", "y", "m", "d", "nation", "sv", "gvs"]).astype({"family": "object", "given": "object", "y": "int32", "m": "int32", "d": "int32", "nation": "int64", "sv": "int64"})
 
     return df.mapInPandas(run, f"id {id_type}, {FIELDS}")
 
@@ -243,32 +245,44 @@ def _initials(rows: DataFrame) -> Column:
     return F.pandas_udf(lambda s: s.map(lambda g: sorted({x[0] for x in expand_given(g)}) if g else ["?"]), "array<string>")("given")
 
 
-def _pieces(block: Column, radius: int = RADIUS) -> Column:
+def _pieces(block: Column, radius: int = RADIUS, bits: Column | None = None) -> Column:
     """(block, piece number, piece) for each of the ``radius + 1`` pieces of the vector."""
     width = -(-BITS // (radius + 1))
     mask = (1 << width) - 1
-    return F.array(*(F.concat_ws("|", block, F.lit(str(i)), F.shiftrightunsigned("sv", i * width).bitwiseAND(F.lit(mask)).cast("string")) for i in range(radius + 1)))
+    bits = F.col("sv") if bits is None else bits
+    return F.array(*(F.concat_ws("|", block, F.lit(str(i)), F.shiftrightunsigned(bits, i * width).bitwiseAND(F.lit(mask)).cast("string")) for i in range(radius + 1)))
 
 
 def _keys(rows: DataFrame, side: str) -> DataFrame:
-    """(id, vector, key, far): hashed join keys of every record and the radius within each, see the module's text.
+    """(id, key, far, bits): hashed join keys of every record with the radius and the vector of each, see the module's text.
 
     Two keys of one hash only add candidates, which are scored like all others.
     """
     none = F.array().cast("array<string>")
-    whole = F.when((F.col("y") > 0) & (F.col("m") > 0) & (F.col("d") > 0), _pieces(F.concat(F.lit("b"), F.concat_ws("-", "y", "m", "d")), WIDE)).otherwise(none)
+    dated = (F.col("y") > 0) & (F.col("m") > 0) & (F.col("d") > 0)
+    date = F.concat_ws("-", "y", "m", "d")
+    whole = F.when(dated, _pieces(F.concat(F.lit("b"), date), WIDE)).otherwise(none)
     mine, other = ("m", "n") if side == "a" else ("n", "m")
 
     def by_initial(i: Column) -> Column:
         year = F.when(F.col("y") > 0, _pieces(F.concat_ws("|", F.lit("e"), i, F.col("y")))).otherwise(none)
         lone = F.when(F.col("y") == 0, _pieces(F.concat_ws("|", F.lit(mine), i))).otherwise(none)
-        return F.concat(year, lone, _pieces(F.concat_ws("|", F.lit(other), i)))
+        # an initial on one side: all names of that letter and date on the other
+        short = F.when(dated & (F.length("given") == 1), F.array(F.concat_ws("|", F.lit(f"{mine}i"), i, date))).otherwise(none)
+        long = F.when(dated, F.array(F.concat_ws("|", F.lit(f"{other}i"), i, date))).otherwise(none)
+        return F.concat(year, lone, _pieces(F.concat_ws("|", F.lit(other), i)), short, long)
 
     same = F.when(F.length("given") > 1, F.array(F.concat_ws("|", F.lit("x"), "family", "given"))).otherwise(none)
-    texts = F.concat(whole, F.flatten(F.transform("initials", by_initial)), same)
-    keys = F.array_distinct(F.transform(texts, lambda t: F.struct(F.xxhash64(t).alias("key"), F.when(t.startswith("b"), WIDE).otherwise(RADIUS).cast("tinyint").alias("far"))))
+    texts = F.concat(F.flatten(F.transform("initials", by_initial)), same)
+    def hashed(texts: Column, far: Column, bits: Column) -> Column:
+        return F.transform(texts, lambda t: F.struct(F.xxhash64(t).alias("key"), far.cast("tinyint").alias("far"), bits.alias("bits")))
+
+    every = F.filter(texts, lambda t: t.rlike("^[mn]i"))
+    by_family = F.concat(hashed(whole, F.lit(WIDE), F.col("sv")), hashed(F.array_except(texts, every), F.lit(RADIUS), F.col("sv")), hashed(every, F.lit(BITS), F.col("sv")))
+    by_given = F.flatten(F.transform("gvs", lambda g: hashed(F.when(dated, _pieces(F.concat(F.lit("g"), date), GIVEN, g)).otherwise(none), F.lit(GIVEN), g)))
     rows = rows.withColumn("initials", _initials(rows))
-    return rows.select(F.col("id").alias(f"id_{side}"), F.col("sv").alias(f"sv_{side}"), F.inline(keys))
+    keyed = rows.select(F.col("id").alias(f"id_{side}"), F.inline(F.array_distinct(F.concat(by_family, by_given))))
+    return keyed.withColumnRenamed("bits", f"bits_{side}")
 
 
 def match(left: DataFrame, right: DataFrame, nations: DataFrame, id_type: str = "string", least: float = 0.5) -> DataFrame:
@@ -279,7 +293,7 @@ def match(left: DataFrame, right: DataFrame, nations: DataFrame, id_type: str =
     """
     a = _records(left.select("id", "name", "date", "nationality", F.lit(None).cast("string").alias("text")), id_type, nations, article=False)
     b = _records(right.select("id", "name", "date", "nationality", "text"), "bigint", nations, article=True)
-    close = F.bit_count(F.col("sv_a").bitwiseXOR(F.col("sv_b"))) <= F.col("far")
+    close = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= F.col("far")
     cand = _keys(a, "a").join(_keys(b, "b"), ["key", "far"]).where(close).select("id_a", "id_b").distinct()
     cols = ("family", "given", "y", "m", "d", "nation", "sv")
     full = cand.join(a.select(F.col("id").alias("id_a"), *(F.col(c).alias(f"a_{c}") for c in cols)), "id_a").join(b.select(F.col("id").alias("id_b"), *(F.col(c).alias(f"b_{c}") for c in cols)), "id_b")
@@ -296,12 +310,16 @@ def match(left: DataFrame, right: DataFrame, nations: DataFrame, id_type: str =
 
 def pair_score(r) -> float:
     """Weighted Dice score of a candidate pair; 0 where the family names are not one word with slips."""
-    d = 0 if r.a_family == r.b_family else osa(r.a_family, r.b_family, 3)
-    if d > 2 or (d == 2 and min(len(r.a_family), len(r.b_family)) < 8):
-        return 0.0
+    d = 0 if r.a_family == r.b_family else osa(r.a_family, r.b_family, 5)
     given = given_score(r.a_given, r.b_given)
     date = date_score((r.a_y, r.a_m, r.a_d), (r.b_y, r.b_m, r.b_d))
     nation = 0.5 if not r.a_nation or not r.b_nation else float(r.a_nation == r.b_nation)
+    if d > 2 or (d == 2 and min(len(r.a_family), len(r.b_family)) < 8):
+        # slips on both sides, or a name cut short: all else must agree
+        most = 5 if min(len(r.a_family), len(r.b_family)) >= 8 else 3
+        initial = given == 0.7 and nation == 1.0 and d < most and 1 in (len(r.a_given), len(r.b_given))
+        if date < 1.0 or nation == 0.0 or d > most or (given < 0.85 and not initial):
+            return 0.0
     if given == 0.0:  # brothers and sisters share family, nation and sometimes the date
         return 0.0
-    return weighted(max(dice(r.a_sv, r.b_sv), 1 - 0.1 * d), given, date, nation)
+    return weighted(max(dice(r.a_sv, r.b_sv), 1 - 0.1 * d), given, date, nation)  # five slips count as one half
