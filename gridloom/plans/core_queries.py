@@ -495,7 +495,7 @@ def _search_sql(words: list[str], k: int | None, need: int = 1, ranges: str = ""
     pairs = ", ".join(f"({i}, '{f}', '{w}', {b}, {1 if len(w) < 5 else 2})" for i, w in enumerate(words) for f, b in BOOSTS.items() if f in _FIELD_SQL)
     if fuzzy:
         match = (
-            "near as (select w, t.field, term, df, boost, length(term) as lt, length(word) as lw, levenshtein(term, word) as d, most from tstat t join want on t.field = want.field where abs(length(term) - length(word)) <= most and levenshtein(term, word) <= most), "
+            "near as (select w, t.field, term, df, boost, length(term) as lt, length(word) as lw, damerau_levenshtein(term, word) as d, most from tstat t join want on t.field = want.field where abs(length(term) - length(word)) <= most and damerau_levenshtein(term, word) <= most), "
             "best as (select *, boost * (1 - d / least(lt, lw)::double) as factor, row_number() over (partition by w, field order by d, term) as n from near where 1 - d / least(lt, lw)::double > 0), "
             "words as (select w, field, term, df, factor from best where n <= 50)"
         )
@@ -523,7 +523,7 @@ query(_search_sql(["belgian", "racing"], 5), "search_exact_or")(_search_query("B
 query(_search_sql(["grand", "prix"], 5, need=2), "search_exact_and")(_search_query("the Grand Prix", use_or=False))
 query(_search_sql(["2", "wins"], 5), "search_stat_text")(_search_query("2 wins"))
 query(_search_sql(["british"], 5, ranges=f"where {_num_sql('wins_wiki', 'wins')} between 1 and 999999", n_ranges=1), "search_words_and_range")(_search_query("British wins>0"))
-query(_search_sql(["brittish", "sebastan"], 5, fuzzy=True), "search_fuzzy")(_search_query("Brittish Sebastan", fuzzy=True))
+query(_search_sql(["brittish", "sebatsian"], 5, fuzzy=True), "search_fuzzy")(_search_query("Brittish Sebatsian", fuzzy=True))
 
 
 @query(f"with {_GG} select row_number() over (order by {_num_sql('wins_wiki', 'wins')} desc, driver_id)::int as rank, driver_id as doc_key, {_num_sql('wins_wiki', 'wins')} as wins from gg where {_num_sql('wins_wiki', 'wins')} >= 1 order by rank limit 5")

@@ -3,7 +3,8 @@
 Scoring is BM25 per field with the field's boost.  A word may match several
 fields; its matches add up.  With OR a document needs one word, with AND every
 word.  Range filters must hold and add 1 each.  Fuzzy words match terms within
-one edit (words of less than five characters) or two; an edit lowers the score
+one edit (words of less than five characters) or two, where a swap of
+neighbouring characters is one edit; an edit lowers the score
 by ``edits / length of the shorter``; each word keeps at most ``EXPANSIONS``
 terms per field, the nearest first.  A word with ``*`` or ``?`` is matched as
 a pattern when the search is exact.
@@ -28,6 +29,16 @@ def edits(word: str) -> int:
     return 1 if len(word) < 5 else 2
 
 
+def swapped(word: str, most: int) -> dict[str, int]:
+    """The word and what up to ``most`` swaps of neighbouring characters make of it, with the number of swaps."""
+    out, last = {word: 0}, [word]
+    for n in range(1, most + 1):
+        last = [w[:i] + w[i + 1] + w[i] + w[i + 2 :] for w in last for i in range(len(w) - 1)]
+        for w in last:
+            out.setdefault(w, n)
+    return out
+
+
 def exact_terms(word: str, field: str) -> list[str]:
     """A query word as the field's analyser cuts it."""
     low = word.lower()
@@ -45,12 +56,12 @@ def word_terms(index: Index, spec: QuerySpec) -> DataFrame:
     for w, word in enumerate(spec.words):
         for field, boost in spec.boosts.items():
             if spec.fuzzy:
-                rows.append((w, field, word.lower(), edits(word), boost))
+                rows += [(w, field, v, edits(word), boost, n) for v, n in swapped(word.lower(), edits(word)).items()]
             elif "*" in word or "?" in word:
                 patterns.append((w, field, _patterns(word), boost))
             else:
-                rows += [(w, field, t, 0, boost) for t in exact_terms(word, field)]
-    want = F.broadcast(spark.createDataFrame(rows, "w int, field string, word string, most int, boost double"))  # words of one query times fields
+                rows += [(w, field, t, 0, boost, 0) for t in exact_terms(word, field)]
+    want = F.broadcast(spark.createDataFrame(rows, "w int, field string, word string, most int, boost double, swaps int"))  # words of one query times fields
     vocabulary = index.term_stats.where(F.col("field").isin(*spec.boosts))
     if not spec.fuzzy:
         out = vocabulary.join(want, ["field"]).where("term = word").select("w", "field", "term", "df", F.col("boost").alias("factor"))
@@ -58,9 +69,10 @@ def word_terms(index: Index, spec: QuerySpec) -> DataFrame:
             like = F.broadcast(spark.createDataFrame(patterns, "w int, field string, pattern string, boost double"))
             out = out.unionByName(vocabulary.join(like, "field").where(F.expr("term rlike pattern")).select("w", "field", "term", "df", F.col("boost").alias("factor")))
         return out
-    near = vocabulary.join(want, "field").where(F.abs(F.length("term") - F.length("word")) <= F.col("most"))
-    near = near.withColumn("d", F.levenshtein("term", "word")).where("d <= most")
-    near = near.withColumn("factor", F.col("boost") * (1 - F.col("d") / F.least(F.length("term"), F.length("word")))).where("factor > 0")
+    near = vocabulary.join(want, "field").where(F.abs(F.length("term") - F.length("word")) <= F.col("most") - F.col("swaps"))
+    near = near.withColumn("d", F.col("swaps") + F.levenshtein("term", "word")).where("d <= most")
+    near = near.groupBy("w", "field", "term", "df", "boost").agg(F.min("d").alias("d"), F.first(F.length("word")).alias("length"))
+    near = near.withColumn("factor", F.col("boost") * (1 - F.col("d") / F.least(F.length("term"), F.col("length")))).where("factor > 0")
     best = Window.partitionBy("w", "field").orderBy("d", "term")
     return near.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= EXPANSIONS).select("w", "field", "term", "df", "factor")
 

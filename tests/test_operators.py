@@ -107,6 +107,7 @@ def index(spark):
 def test_search(spark, index, tmp_path):
     keys = lambda spec: [r["doc_key"] for r in S.search(index, spec).orderBy("rank").collect()]
     assert keys(parse("peters", fuzzy=False)) == ["1", "2"] and set(keys(parse("peters"))) == {"1", "2", "3"}
+    assert set(keys(parse("epters"))) == {"1", "2", "3"} and S.swapped("abc", 2)["bca"] == 2
     assert keys(parse("ann peters", use_or=False, fuzzy=False)) == ["1"] and keys(parse("sort: wins wins>=0")) == ["1", "2", "3"]
     assert keys(parse("3 wins", fuzzy=False))[0] == "1" and keys(parse("pet*", fuzzy=False)) and keys(parse("zzz", fuzzy=False)) == []
     assert S.total_hits(index, parse("peters wins>1", fuzzy=False)).first()["hits"] == 1
