@@ -115,9 +115,13 @@ def _nwords(text: str) -> int:
 _SIGNS = {
     "latex": re.compile(r"\\documentclass|\\begin\{\w+\*?\}|\\(?:sub)*section\*?\{|\\(?:emph|textbf|textit|underline|textsc|cite|href|item)\b|\{\\(?:bf|it|em|sc)\b"),
     "html": re.compile(r"<(?:p|html|body|head|div|article|main|section)\b[^<>]*>", re.I),
-    "wiki": re.compile(r"\[\[[^\[\]\n]+\]\]|\{\{[^{}\n]*(?:\||\}\})|\{\{infobox|^\{\||<ref\b|<nowiki>|<math\b|<source\b|<syntaxhighlight\b|'''?[^'\n]+'''?|\[https?://\S+ [^\]\n]+\]|^={2,6}[^=\n].*={2,6}\s*(?:<!--.*)?$|__[A-Z]+__", re.I | re.M),
-    "markdown": re.compile(r"\]\([^()\s]+(?: \"[^\"]*\")?\)|\*\*[^*\s][^*\n]*\*\*|(?<!\w)__[^_\s][^_\n]*__|~~[^~\n]+~~|^(?:```|~~~)|^#{1,6} \S|^.*\S.*\n(?:={3,}|-{3,})\s*$|^\|[-:| ]+\|\s*$|(?<![\w*])\*[^\s*][^*\n]*\*(?![\w*])|^\s{0,3}(?:[-+*]|\d{1,3}[.)]) \S|^\$\$|^\\[#*]", re.M),
+    "wiki": re.compile(r"\[\[[^\[\]\n]+\]\]|\{\{[^{}\n]*(?:\||\}\})|\{\{infobox|^\{\||<ref\b|<nowiki>|<math\b|<source\b|<syntaxhighlight\b|'''?[^'\n]+'''?|\[https?://\S+ [^\]\n]+\]|^={2,6}[^=\n].*={2,6}\s*(?:<!--.*)?$|(?-i:__[A-Z]{3,}__)", re.I | re.M),
+    "markdown": re.compile(r"\]\([^()\s]+(?: \"[^\"]*\")?\)|\*\*[^*\s][^*\n]*\*\*|(?<!\w)__[^_\s][^_\n]*__|~~[^~\n]+~~|^(?:```|~~~)|^.*\S.*\n(?:={3,}|-{3,})\s*$|^\|[-:| ]+\|\s*$|(?<![\w*])\*[^\s*][^*\n]*\*(?![\w*])|^\s{0,3}(?:[-+]|\d{1,3}[.)]) \S|^\$\$|^\\[#*]", re.M),
 }
+#: line starts that mean a list in wiki markup and a heading or list in Markdown; they decide only where nothing else does
+_EITHER = re.compile(r"^#{1,6} \S|^\s{0,3}\* \S", re.M)
+#: list lines without a blank after the mark, and lists of '#' lines
+_TIGHT = re.compile(r"^[*#]{1,4}[^\s*#]|^#{1,4} [^\n]*\n#{1,4} ", re.M)
 _INFOBOX = re.compile(r"\{\{\s*infobox", re.I)
 
 
@@ -141,6 +145,10 @@ def dialect(text: str) -> str:
         return "wiki"
     if n["markdown"]:
         return "markdown"
+    if _TIGHT.search(body):
+        return "wiki"
+    if _EITHER.search(body):
+        return "markdown"
     return "html" if re.search(r"</[a-z][a-z0-9]*>", text, re.I) else "plain"
 
 
