@@ -234,18 +234,19 @@ def nation_index(rows: list) -> tuple[NameIndex, dict[str, int]]:
     return NameIndex(list(entry), NATION_SIM, loose=False), entry
 
 
-def typed_values(df: DataFrame, key: str, field: str, name: str) -> DataFrame:
-    """(field, rec_id, raw) of the non-blank values, one per key."""
-    rows = df.select(F.lit(name).alias("field"), F.col(key).cast("bigint").alias("rec_id"), F.col(field).cast("string").alias("raw"))
+def typed_values(df: DataFrame, key: str, field: str, name: str, hint: str | None = None) -> DataFrame:
+    """(field, rec_id, raw, hint) of the non-blank values, one per key; ``hint`` is a column beside them or null."""
+    beside = F.col(hint).cast("string") if hint else F.lit(None).cast("string")
+    rows = df.select(F.lit(name).alias("field"), F.col(key).cast("bigint").alias("rec_id"), F.col(field).cast("string").alias("raw"), beside.alias("hint"))
     return rows.where(F.col("rec_id").isNotNull() & F.col("raw").rlike(r"\S")).dropDuplicates(["rec_id"])
 
 
 def _mapped(typed: DataFrame, choose) -> DataFrame:
-    """(field, rec_id, ref_id): ``choose`` gives the entry of a raw value, or None for no row."""
+    """(field, rec_id, ref_id): ``choose`` gives the entry of a raw value with its hint, or None for no row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(f, k, r) for f, k, raw in zip(b["field"], b["rec_id"], b["raw"]) if (r := choose(raw)) is not None]
+            out = [(f, k, r) for f, k, raw, hint in zip(b["field"], b["rec_id"], b["raw"], b["hint"]) if (r := choose(raw, hint)) is not None]
             yield pd.DataFrame(out, columns=["field", "rec_id", "ref_id"]).astype({"field": "object", "rec_id": "int64", "ref_id": "int64"})
 
     return typed.mapInPandas(run, "field string, rec_id bigint, ref_id bigint")
@@ -255,7 +256,7 @@ def map_nationalities(typed: DataFrame, entries: DataFrame) -> DataFrame:
     """(field, rec_id, ref_id) for each non-blank value of :func:`typed_values` rows."""
     index, entry = nation_index(read_list(entries, "ref_id", "demonym", "country", "code"))
 
-    def choose(raw: str) -> int | None:
+    def choose(raw: str, _: str | None) -> int | None:
         forms = clean_nationality(raw)
         if forms is None:
             return None
@@ -266,8 +267,15 @@ def map_nationalities(typed: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def map_places(typed: DataFrame, entries: DataFrame, nations: DataFrame) -> DataFrame:
-    """(field, rec_id, ref_id) for each non-blank birth place of :func:`typed_values` rows."""
-    codes = country_codes(read_list(nations, "demonym", "country", "code"))
+    """(field, rec_id, ref_id) for each non-blank birth place of :func:`typed_values` rows.
+
+    A hint is read as a nationality; where a place names no country, towns of
+    one name in that country go before others.
+    """
+    listed = read_list(nations, "ref_id", "demonym", "country", "code")
+    codes = country_codes(listed)
+    nation, nation_entry = nation_index(listed)
+    nation_code = {r["ref_id"]: r["code"] for r in listed}
     towns: dict[str, list[tuple[int, str, str]]] = {}
     for r in read_list(entries, "ref_id", "place", "region", "code", "local_name"):
         for x in (r["place"], r["local_name"]):
@@ -275,11 +283,15 @@ def map_places(typed: DataFrame, entries: DataFrame, nations: DataFrame) -> Data
                 towns.setdefault(place_form(x), []).append((r["ref_id"], flat(r["region"] or ""), r["code"] or ""))
     index = NameIndex(list(towns), PLACE_SIM, loose=True)
 
-    def choose(raw: str) -> int | None:
+    def choose(raw: str, hint: str | None) -> int | None:
         place = clean_place(raw, codes)
         if place is None:
             return None
         name, region, code = place
+        home = ""
+        if not code and name and sum(len(towns[x]) for d, _, x in index.match(name)[:3] if d < 2) > 1:
+            found = [m[0] for f in clean_nationality(hint) or () if (m := nation.match(f))]
+            home = nation_code[nation_entry[min(found)[2]]] if found else ""
         best = []
         for d, s, alias in index.match(name) if name else ():
             for ref_id, its_region, its_code in towns[alias]:
@@ -287,8 +299,8 @@ def map_places(typed: DataFrame, entries: DataFrame, nations: DataFrame) -> Data
                 if clash and d:  # a near name in another country is another town
                     continue
                 other = bool(region) and osa(region, its_region, 3) > 3
-                best.append((d + 2 * clash + other, s, ref_id))
-        return min(best)[2] if best else 0
+                best.append((d + 2 * clash + other, its_code != home, s, ref_id))
+        return min(best)[3] if best else 0
 
     return _mapped(typed, choose)
 

@@ -49,7 +49,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     nations, pages = table(spark, sf, "nationality_ref"), table(spark, sf, "spark")
     typed = canonical.typed_values(table(spark, sf, "drivers_teams"), "rec_id", "nationality", "drivers_teams.nationality")
     typed = typed.unionByName(canonical.typed_values(pages, "page_id", "nationality_wiki", "spark.nationality_wiki"))
-    born = canonical.typed_values(pages, "page_id", "birth_place_wiki", "spark.birth_place_wiki")
+    born = canonical.typed_values(pages, "page_id", "birth_place_wiki", "spark.birth_place_wiki", hint="nationality_wiki")
     return canonical.map_nationalities(typed, nations).unionByName(canonical.map_places(born, table(spark, sf, "place_ref"), nations))
 
 

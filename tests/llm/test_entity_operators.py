@@ -80,6 +80,9 @@ def test_places(spark, nations):
     typed = ["Wukordobrueck, Suomi", "[[Wukordobrück (city)|Wukordobrück]], UK", "Wukordobrück", "St. Mardimacqua", "Barnulkuwick Italia", "Porevuburg o. Grormildevia", "SAINT MARDIMCQUA, [[East C]], [[History of Italy|Italy]]", "Tranultacqua", "Italy", "unknown", "{{nowrap|[[Saint Mardimacqua]], France}}", "Mardimacqa, Spain"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(typed)] + [(99, ""), (98, None)], "page_id bigint, birth_place_wiki string")
     got = dict(rows(canonical.map_places(canonical.typed_values(df, "page_id", "birth_place_wiki", "f"), ref, nations), "rec_id", "ref_id"))
+    hinted = df.selectExpr("*", "'Brittish' as nationality_wiki")
+    again = dict(rows(canonical.map_places(canonical.typed_values(hinted, "page_id", "birth_place_wiki", "f", hint="nationality_wiki"), ref, nations), "rec_id", "ref_id"))
+    assert again[2] == 2 and {k: v for k, v in again.items() if k != 2} == {k: v for k, v in got.items() if k != 2}
     assert [got[i] for i in range(len(typed))] == [1, 2, 1, 3, 3, 4, 3, 0, 0, 0, 3, 0] and 99 not in got and 98 not in got
 
 
