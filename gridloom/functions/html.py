@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from gridloom.functions.common import as_col
 from gridloom.functions.text import strip_tags
 
-#: sections of a page that list teams: id, whether only marked rows count, and the cell that holds the team (0: any)
+#: fixed values: sections of a page that list teams, as id, whether only marked rows count, and the cell that holds the team (0: any)
 TEAM_SECTIONS = (("championship-seasons", True, 2), ("non-championship-races", True, 4), ("teams", False, 0))
 STATS = ("starts", "wins", "poles", "podiums")
 
+#: marks of the pages' labelled values; fixed values
 _HEAD = r'<div[^>]*class="[^"]*database-data__head[^"]*"[^>]*>'
 _CONTENT = r'</div>\s*<div[^>]*class="[^"]*database-data__content[^"]*"[^>]*>(.*?)</div>'
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.common import as_col
 from gridloom.functions.text import collapse_space
 
-#: aliases of each extracted field, the first one present wins
+#: aliases of each extracted field, the first one present wins; fixed values
 FIELD_ALIASES = {
     "teams_wiki": ("teams", "team", "current_team", "team(s)"),
     "birth_place_wiki": ("birth_place",),
@@ -95,7 +95,7 @@ def first_number(value: Column | str) -> Column:
     return F.when(digits != "", digits)
 
 
-#: rewrites of the biography cleaner after templates are gone; order matters
+#: rewrites of the biography cleaner after templates are gone; fixed values in a fixed order
 BIOGRAPHY_STEPS = (
     (r"(?s)<ref[^>]*/>", ""), (r"(?s)<ref[^>]*>.*?</ref>", ""), ("<[^>]+>", ""),
     (r"(?i)\[\[(?:File|Image):(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]", ""), (r"\[\[Category:[^\]]*\]\]", ""),

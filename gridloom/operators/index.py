@@ -18,13 +18,13 @@ from gridloom.functions.common import as_col
 from gridloom.functions.values import birth_timestamp, number_value, stat_text, text_value, to_int
 from gridloom.functions.text import blank_to_null
 
-#: text fields: name -> (wiki column, base column or none)
+#: text fields (fixed values): name -> (wiki column, base column or none)
 TEXT_FIELDS = {
     "birth_place_wiki": ("birth_place_wiki", "birth_place"), "nationality_wiki": ("nationality_wiki", "nationality"),
     "driver_name": ("driver_name", None), "teams_wiki": ("teams_wiki", None), "former_teams_wiki": ("former_teams_wiki", None),
     "car_number_wiki": ("car_number_wiki", None), "birth_date_wiki": ("birth_date_wiki", None), "birth_date": ("birth_date", None), "biography": ("first_1000_words", None),
 }
-#: numeric fields: name -> (wiki column, base column)
+#: numeric fields (fixed values): name -> (wiki column, base column)
 NUMBER_FIELDS = {
     "wins": ("wins_wiki", "wins"), "podiums": ("podiums_wiki", "podiums"), "poles": ("pol_positions_wiki", "poles"),
     "starts": ("entries_wiki", "starts"), "fastest_laps": ("fastest_laps_wiki", "fastest_laps"), "championships": ("championships_wiki", None),
