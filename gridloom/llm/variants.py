@@ -142,9 +142,13 @@ def canonical_words(parsed: DataFrame) -> DataFrame:
     w, o = words.select("word", F.col("n").alias("n"), F.col("kinds"), "firsts"), words.select(F.col("word").alias("other"), F.col("n").alias("on"), F.col("kinds").alias("okinds"), F.col("firsts").alias("ofirsts"))
     met = both.join(w, "word").join(o, "other")
     free = lambda a, b: (F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(a, b)
-    met = met.where((F.col("n") <= 2) & free("kinds", "okinds"))
-    met = met.where((F.col("on") > F.col("n")) | ((F.col("on") == F.col("n")) & (F.col("other") < F.col("word"))))
-    return met.groupBy("word").agg(F.min(F.struct((-F.col("on")).alias("n"), "other")).alias("m")).select("word", F.col("m.other").alias("root"))
+    met = checkpoint(met.where(free("kinds", "okinds")).select("word", "other", "n", "on"), parsed.sparkSession)
+    # of two words met as often, the one with more neighbours is the likelier root
+    degree = met.groupBy("word").agg(F.count("*").alias("deg"))
+    met = met.join(degree, "word").join(degree.select(F.col("word").alias("other"), F.col("deg").alias("odeg")), "other").where("n <= 2")
+    mine, its = F.struct("n", "deg", "other"), F.struct("on", "odeg", "word")  # the smaller word wins the last tie
+    met = met.where(mine < its)
+    return met.groupBy("word").agg(F.min(F.struct((-F.col("on")).alias("n"), (-F.col("odeg")).alias("deg"), "other")).alias("m")).select("word", F.col("m.other").alias("root"))
 
 
 def link(df: DataFrame, id_: str = "name_id", field: str = "team_name") -> DataFrame:
