@@ -20,3 +20,14 @@ def checkpoint(df: DataFrame, spark: SparkSession, fallback: str = "/tmp/gridloo
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or fallback)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    For costly steps over a plain scan of few files or row groups.  A scan
+    with enough partitions is left alone, so only small inputs are shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if have < cores else df
