@@ -33,6 +33,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.sources.tables import spread
+
 TOKENIZER_DIR = os.environ.get("GRIDLOOM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: how this vocabulary cuts a text into pieces; a fixed value of the public tokenizer
@@ -188,7 +190,7 @@ def encode_corpus(df: DataFrame, key: str, field: str, folder: str = TOKENIZER_D
         return pd.Series([join_chunks([(list(p["ids"]), p["tail"]) for p in row], enc) for row in parts])
 
     rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(field).cast("string").alias("t")).where("k is not null")
-    full = rows.where(F.length("t") > 0)
+    full = spread(rows.where(F.length("t") > 0))
     lists = full.mapInPandas(cut, "k bigint, pos int, digest binary, body string")
     book = lists.groupBy("digest").agg(F.first("body").alias("body")).mapInPandas(encode, "digest binary, ids array<int>, tail int")
     joined = lists.select("k", "pos", "digest").join(book, "digest").groupBy("k").agg(F.sort_array(F.collect_set(F.struct("pos", "ids", "tail"))).alias("parts"))

@@ -35,6 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.sources.tables import spread
+
 FAMILIES = {"germanic": ("de", "en", "nl"), "romance": ("es", "fr", "it", "pt")}
 LANGUAGES = tuple(sorted(x for f in FAMILIES.values() for x in f))
 SAMPLE = 4000  # labelled documents at most that the machines are fitted on
@@ -340,5 +342,5 @@ def label_segments(df: DataFrame, id_: str, text: str, label: str, model: Model
             yield pd.DataFrame(rows, columns=["k", "seg_no", "lang", "start", "end", "confidence", "state"]).astype({"k": "int64", "seg_no": "int32", "lang": "object", "start": "int32", "end": "int32", "confidence": "float64", "state": "object"})
 
     rows = df.select(F.col(id_).cast("bigint").alias("k"), F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("l")).where(F.col("k").isNotNull() & F.col("t").isNotNull())
-    out = rows.mapInPandas(run, "k bigint, seg_no int, lang string, start int, end int, confidence double, state string")
+    out = spread(rows).mapInPandas(run, "k bigint, seg_no int, lang string, start int, end int, confidence double, state string")
     return out.withColumnRenamed("k", id_)

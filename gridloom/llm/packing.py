@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.encode import TOKENIZER_DIR, VOCABULARY, encoding
-from gridloom.sources.tables import checkpoint
+from gridloom.sources.tables import checkpoint, spread
 
 CAPACITY = 2048
 SHARD = 1000  # items of a shard on average
@@ -44,7 +44,8 @@ def token_sizes(df: DataFrame, key: str, field: str, folder: str = TOKENIZER_DIR
         enc = encoding(folder, vocabulary)
         return texts.map(lambda t: len(enc.encode_ordinary(t)) if t else 0).astype("int32")
 
-    return df.select(F.col(key).cast("bigint").alias("id"), count(F.coalesce(F.col(field).cast("string"), F.lit(""))).alias("size"))
+    rows = spread(df.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(field).cast("string"), F.lit("")).alias("text")))
+    return rows.select("id", count("text").alias("size"))
 
 
 def best_fit(items: list[int], sizes: list[int], bins: list[list[int]], room: list[int], capacity: int) -> None:
