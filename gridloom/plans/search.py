@@ -45,10 +45,24 @@ def exact_terms(word: str, field: str) -> list[str]:
     return [low] if field in BLANK_FIELDS else re.findall(r"\w+", low)
 
 
+def literal_terms(spec: QuerySpec) -> list[str] | None:
+    """All terms that an exact search without patterns can hit, so that scans of the index read little else; else None."""
+    if spec.fuzzy or any(c in w for w in spec.words for c in "*?"):
+        return None
+    return sorted({t for w in spec.words for f in spec.boosts for t in exact_terms(w, f)})
+
+
 def _patterns(word: str) -> str:
     return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in word.lower()) + "$"
 
 
+def _of_query(table: DataFrame, spec: QuerySpec) -> DataFrame:
+    """The rows of a table by field and term that a query may need; both filters reach the scan."""
+    table = table.where(F.col("field").isin(*spec.boosts))
+    terms = literal_terms(spec)
+    return table if terms is None else table.where(F.col("term").isin(*terms))
+
+
 def word_terms(index: Index, spec: QuerySpec) -> DataFrame:
     """(w, field, term, factor): the terms of the vocabulary that each word of the query means."""
     spark = index.doc.sparkSession
@@ -62,7 +76,7 @@ def word_terms(index: Index, spec: QuerySpec) -> DataFrame:
             else:
                 rows += [(w, field, t, 0, boost, 0) for t in exact_terms(word, field)]
     want = F.broadcast(spark.createDataFrame(rows, "w int, field string, word string, most int, boost double, swaps int"))  # words of one query times fields
-    vocabulary = index.term_stats.where(F.col("field").isin(*spec.boosts))
+    vocabulary = _of_query(index.term_stats, spec)
     if not spec.fuzzy:
         out = vocabulary.join(want, ["field"]).where("term = word").select("w", "field", "term", "df", F.col("boost").alias("factor"))
         if patterns:
@@ -80,7 +94,7 @@ def word_terms(index: Index, spec: QuerySpec) -> DataFrame:
 def scores(index: Index, spec: QuerySpec) -> DataFrame:
     """(doc_key, score) of the documents that the words match."""
     terms = word_terms(index, spec)
-    hits = index.posting.join(terms, ["field", "term"]).join(F.broadcast(index.field_stats), "field")  # one row per field
+    hits = _of_query(index.posting, spec).join(terms, ["field", "term"]).join(F.broadcast(index.field_stats), "field")  # one row per field
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     per_word = hits.groupBy("doc_key", "w").agg(F.sum(F.col("factor") * idf * F.col("tf") / norm).alias("s"))

@@ -124,6 +124,12 @@ def test_documents_keep_other_columns(index):
     assert documents(index.doc.limit(0).select(F.col("doc_key").alias("driver_id"))).count() == 0
 
 
-def test_plans_push_down_and_broadcast_only_small_sides(spark, index):
-    plan = S.search(index, parse("peters wins>1", fuzzy=False))._jdf.queryExecution().toString()
-    assert "CartesianProduct" not in plan
+def test_plans_read_what_they_need(spark, index, tmp_path):
+    index.save(str(tmp_path / "i"))
+    saved = Index.load(spark, str(tmp_path / "i"))
+    plan = S.matches(saved, parse("wins>=2")).select("doc_key")._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(wins,2)" in plan and "ReadSchema: struct<doc_key:string,wins:int>" in plan
+    plan = S.scores(saved, parse("peters", fuzzy=False))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [field" in plan and "EqualTo(term,peters)" in plan and "CartesianProduct" not in plan
+    joined = enrich.join_by_name(spark.range(1).selectExpr("'a' as driver_name"), spark.range(1).selectExpr("'a (x)' as title"))
+    assert joined.count() == 1
