@@ -44,13 +44,13 @@ def infobox(text: Column | str) -> Column:
     rest = F.when(start > 0, F.substring(t, start, F.length(t)))
     rest = F.regexp_replace(rest, r"(?s)\n={2,}[^\n]*?={2,}.*$", "")
     parts = F.regexp_extract_all(rest, F.lit(r"(?s)\{\{|\}\}|[^{}]+|[{}]"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"), F.lit(False).alias("done"))
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
 
     def step(acc: Column, part: Column) -> Column:
         depth = acc["depth"] + F.when(part == "{{", 1).when(part == "}}", -1).otherwise(0)
-        return F.when(acc["done"], acc).otherwise(F.struct(depth.alias("depth"), F.array_append(acc["out"], part).alias("out"), (depth == 0).alias("done")))
+        return F.when(acc["done"], acc).otherwise(F.struct(depth.alias("depth"), (acc["n"] + 1).alias("n"), (depth == 0).alias("done")))
 
-    return F.coalesce(F.array_join(F.aggregate(parts, zero, step)["out"], ""), F.lit(""))
+    return F.coalesce(F.array_join(F.slice(parts, F.lit(1), F.aggregate(parts, zero, step)["n"]), ""), F.lit(""))
 
 
 def fields(box: Column | str) -> Column:
