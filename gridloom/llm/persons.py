@@ -4,13 +4,12 @@ Names become fixed bit vectors of their padded bigrams.  Close pairs are found
 exactly by multi-index hashing: a 64-bit vector is cut into one piece more
 than the radius has bits, and two vectors within the radius agree on one piece
 at least, so an equality join on (block, piece number, piece) loses no such
-pair.  Blocks
-are what the two records must share anyway in one of these ways: the whole
-birth date, with family names or with given names close; the first letter and
-the birth year; the first letter, where a birth year is missing; the whole
-name, where a date is wrong.  Candidates are
-scored field by field with Dice similarities, the weighted score is turned
-into a confidence by a calibrated logistic curve.
+pair.  Blocks are what the two records must share anyway in one of these ways:
+the whole birth date, with family names or with given names close; the first
+letter and the birth year; the first letter and the nation, where a birth year
+is missing; the whole name, where a date is wrong.  Candidates are scored
+field by field with Dice similarities, the weighted score is turned into a
+confidence by a calibrated logistic curve.
 
 Defined results: null and blank names match nothing; a missing date or
 nationality neither supports nor contradicts; several pages or articles of
@@ -265,11 +264,15 @@ def _keys(rows: DataFrame, side: str) -> DataFrame:
 
     def by_initial(i: Column) -> Column:
         year = F.when(F.col("y") > 0, _pieces(F.concat_ws("|", F.lit("e"), i, F.col("y")))).otherwise(none)
-        lone = F.when(F.col("y") == 0, _pieces(F.concat_ws("|", F.lit(mine), i))).otherwise(none)
+        # no year on one side: the nation must agree or be unknown on one side, else no score suffices
+        known, undated = F.col("nation") > 0, F.col("y") == 0
+        nation = F.col("nation").cast("string")
+        lone = F.when(undated & known, F.concat(_pieces(F.concat_ws("|", F.lit(mine), i, nation)), _pieces(F.concat_ws("|", F.lit(f"{mine}z"), i)))).when(undated, _pieces(F.concat_ws("|", F.lit(f"{mine}a"), i))).otherwise(none)
+        to_lone = F.concat(_pieces(F.when(known, F.concat_ws("|", F.lit(other), i, nation)).otherwise(F.concat_ws("|", F.lit(f"{other}z"), i))), _pieces(F.concat_ws("|", F.lit(f"{other}a"), i)))
         # an initial on one side: all names of that letter and date on the other
         short = F.when(dated & (F.length("given") == 1), F.array(F.concat_ws("|", F.lit(f"{mine}i"), i, date))).otherwise(none)
         long = F.when(dated, F.array(F.concat_ws("|", F.lit(f"{other}i"), i, date))).otherwise(none)
-        return F.concat(year, lone, _pieces(F.concat_ws("|", F.lit(other), i)), short, long)
+        return F.concat(year, lone, to_lone, short, long)
 
     same = F.when(F.length("given") > 1, F.array(F.concat_ws("|", F.lit("x"), "family", "given"))).otherwise(none)
     texts = F.concat(F.flatten(F.transform("initials", by_initial)), same)
