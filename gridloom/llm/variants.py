@@ -51,7 +51,8 @@ _LEGAL = re.compile(r"(?<!\w)(?:ltd|gmbh|co|inc|spa|s\.?a|ag|kg|plc|llc|team|the
 _JOINERS = frozenset({"and", "und", "et", "of"})
 _PARTNERS = re.compile(r"&|\+|/| and | und |,.*,")
 
-SIM = 0.45  # least Jaccard similarity of bigram sets of two key words; one slip in a word of five or more letters stays above
+#: q-grams of key words and the least Jaccard similarity of their sets; one slip in a word of seven or more letters stays above
+Q, SIM = 3, 0.25
 
 
 def parse(name: str) -> tuple[str, list[str], str, bool]:
@@ -131,7 +132,7 @@ def canonical_words(parsed: DataFrame) -> DataFrame:
         F.collect_set(F.when(F.length("given") > 0, F.substring("given", 1, 1))).alias("firsts"),  # at most one per letter
     )
     words = checkpoint(words, parsed.sparkSession)
-    pairs = jaccard_join(words.select(F.col("word").alias("id"), qgrams("word").alias("toks")), None, SIM)
+    pairs = jaccard_join(words.select(F.col("word").alias("id"), qgrams("word", Q).alias("toks")), None, SIM)
 
     @F.pandas_udf("boolean")
     def slip(a: pd.Series, b: pd.Series) -> pd.Series:
