@@ -3,6 +3,10 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import HealthCheck, settings
+
+settings.register_profile("tests", deadline=None, suppress_health_check=list(HealthCheck))
+settings.load_profile("tests")
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
