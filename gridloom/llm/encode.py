@@ -142,10 +142,10 @@ def join_chunks(parts: list[tuple[list[int], int]], enc=None) -> list[int]:
                 agreed = at < len(both)
                 break
         done = [enc.encode_ordinary(p) for p in fresh]
-        if agreed and used <= len(ids) - n:
+        if agreed and used < len(ids) - n:
             out += [i for x in done for i in x] + list(ids[used : len(ids) - n])
             tail = list(ids[len(ids) - n :])
-        else:  # the repair reached into the right chunk's open end
+        else:  # the repair reached the right chunk's open end, which may be a single piece
             rest = list(ids[used:]) if agreed else []
             keep = 1 if rest else 2
             out += [i for x in done[:-keep] for i in x]

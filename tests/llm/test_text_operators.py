@@ -123,6 +123,11 @@ def test_any_cut_is_repaired(text, seed):
     assert encode.join_chunks(parts) == encode.encoding().encode_ordinary(text)
 
 
+@pytest.mark.parametrize("parts", [["'", "v", "e"], ["'", "l", "l"], ["a", " ", " ", "b"], ["\n", "\n", " ", "x"], ["don", "'", "t", "'", "r", "e"]])
+def test_chunks_of_one_piece(parts):
+    assert encode.join_chunks([encode.encode_chunk(p) for p in parts]) == encode.encoding().encode_ordinary("".join(parts))
+
+
 def test_borders_follow_the_content():
     rng = random.Random(1)
     body = "".join(rng.choice("abcdefgh ij") for _ in range(20_000))
