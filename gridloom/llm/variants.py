@@ -54,6 +54,9 @@ _PARTNERS = re.compile(r"&|\+|/| and | und |,.*,")
 #: q-grams of key words and the least Jaccard similarity of their sets; one slip in a word of seven or more letters stays above
 Q, SIM = 3, 0.25
 
+#: how many times as often as its slip a word is met at least, where given names do not tell
+RATIO = 2
+
 
 def parse(name: str) -> tuple[str, list[str], str, bool]:
     """(given, key words sorted, kind, partners?) of a typed name.
@@ -121,15 +124,18 @@ def _parsed(df: DataFrame, id_: str, field: str) -> DataFrame:
 def canonical_words(parsed: DataFrame) -> DataFrame:
     """(word, root): each key word that is a slip of a better supported one, and that one.
 
-    A word met in three names or more stands for itself.  The neighbour must
-    share the kind of business, and for people the given name, where both are
-    known.
+    The neighbour must share the kind of business where both are known.  A
+    word met in one or two names says little for itself and goes to any better
+    supported neighbour; a word met more often goes to one whose people share a
+    given name with it, or, where that tells nothing, to one that is met, or
+    leads to a word met, at least ``RATIO`` times as often.  Words with
+    different people stand for themselves.
     """
     uses = parsed.select("id", "kind", "given", F.explode("keys").alias("word")).where(F.length("word") > 3)
     words = uses.groupBy("word").agg(
         F.countDistinct("id").alias("n"),
         F.collect_set(F.when(F.col("kind") != "", F.col("kind"))).alias("kinds"),  # at most one per kind
-        F.collect_set(F.when(F.length("given") > 0, F.substring("given", 1, 1))).alias("firsts"),  # at most one per letter
+        F.collect_set(F.when(F.length("given") > 0, F.col("given"))).alias("givens"),  # names, short forms and initials: bounded
     )
     words = checkpoint(words, parsed.sparkSession)
     pairs = jaccard_join(words.select(F.col("word").alias("id"), qgrams("word", Q).alias("toks")), None, SIM)
@@ -140,13 +146,21 @@ def canonical_words(parsed: DataFrame) -> DataFrame:
 
     pairs = pairs.where((F.abs(F.length("ida") - F.length("idb")) <= 1)).where(slip("ida", "idb"))
     both = pairs.select(F.col("ida").alias("word"), F.col("idb").alias("other")).unionByName(pairs.select(F.col("idb").alias("word"), F.col("ida").alias("other")))
-    w, o = words.select("word", F.col("n").alias("n"), F.col("kinds"), "firsts"), words.select(F.col("word").alias("other"), F.col("n").alias("on"), F.col("kinds").alias("okinds"), F.col("firsts").alias("ofirsts"))
+    w, o = words.select("word", "n", "kinds", "givens"), words.select(F.col("word").alias("other"), F.col("n").alias("on"), F.col("kinds").alias("okinds"), F.col("givens").alias("ogivens"))
     met = both.join(w, "word").join(o, "other")
     free = lambda a, b: (F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(a, b)
-    met = checkpoint(met.where(free("kinds", "okinds")).select("word", "other", "n", "on"), parsed.sparkSession)
+
+    @F.pandas_udf("double")
+    def people(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([max((agree(x, y) for x in g for y in h), default=0.5) for g, h in zip(a, b)], dtype="float64")
+
+    met = met.where(free("kinds", "okinds")).withColumn("people", people("givens", "ogivens"))
+    met = checkpoint(met.select("word", "other", "n", "on", "people"), parsed.sparkSession)
     # of two words met as often, the one with more neighbours is the likelier root
-    degree = met.groupBy("word").agg(F.count("*").alias("deg"))
-    met = met.join(degree, "word").join(degree.select(F.col("word").alias("other"), F.col("deg").alias("odeg")), "other").where("n <= 2")
+    degree = met.groupBy("word").agg(F.count("*").alias("deg"), F.max("on").alias("reach"))
+    met = met.join(degree.select("word", "deg"), "word").join(degree.select(F.col("word").alias("other"), F.col("deg").alias("odeg"), "reach"), "other")
+    backed = F.greatest("on", "reach") >= F.col("n") * RATIO  # the neighbour may be a slip of the word so often met
+    met = met.where((F.col("n") <= 2) | (F.col("people") >= 0.9) | ((F.col("people") > 0) & backed))
     mine, its = F.struct("n", "deg", "other"), F.struct("on", "odeg", "word")  # the smaller word wins the last tie
     met = met.where(mine < its)
     return met.groupBy("word").agg(F.min(F.struct((-F.col("on")).alias("n"), (-F.col("odeg")).alias("deg"), "other")).alias("m")).select("word", F.col("m.other").alias("root"))
@@ -157,9 +171,14 @@ def link(df: DataFrame, id_: str = "name_id", field: str = "team_name") -> DataF
     spark = df.sparkSession
     parsed = checkpoint(_parsed(df, id_, field), spark)
     roots = checkpoint(canonical_words(parsed), spark)
-    # a slip of a slip: one more hop reaches the supported word
-    far = roots.alias("a").join(roots.alias("b"), F.col("a.root") == F.col("b.word"), "left").select(F.col("a.word").alias("word"), F.coalesce("b.root", "a.root").alias("root"))
-    words = parsed.select("id", F.posexplode("keys").alias("pos", "word")).join(far, "word", "left")
+    # slips of slips: hops are doubled until every word is at its supported one; support grows with each hop, so there is no ring
+    more = True
+    while more:
+        far = roots.alias("a").join(roots.alias("b"), F.col("a.root") == F.col("b.word"), "left").select(F.col("a.word").alias("word"), F.coalesce("b.root", "a.root").alias("root"), F.col("b.root").isNotNull().alias("moved"))
+        roots = checkpoint(far, spark)
+        more = not roots.where("moved").isEmpty()
+        roots = roots.drop("moved")
+    words = parsed.select("id", F.posexplode("keys").alias("pos", "word")).join(roots, "word", "left")
     keys = words.groupBy("id").agg(F.array_sort(F.collect_list(F.coalesce("root", "word"))).alias("keys"))
     names = parsed.drop("keys").join(keys, "id", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
     names = checkpoint(names, spark)

@@ -117,6 +117,27 @@ def test_spellings(spark):
     assert variants.pairs(variants.link(df.limit(0))).count() == 0
 
 
+def test_slips_met_often_go_to_their_word(spark):
+    def slips(word):  # swapped, doubled and dropped keys
+        made = {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(1, len(word) - 1)} | {word[:i] + word[i] + word[i:] for i in range(len(word))} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+        return sorted(made - {word})
+
+    kinds, legal = ("Racing", "Rcg", "Race", ""), ("", " Ltd", " Inc", " GmbH", " AG", " plc")
+    names = []
+    for word, people in (("Tirdanekolimar", ("Albert ", "A. ", "Al ", "")), ("Flaskumogradel", ("",))):
+        heads = [(p, k, z) for p in people for k in kinds for z in legal]
+        forms = [(word, len(heads)), *((w, 20 if people[1:] else 4) for w in slips(word)), *((w, 3) for w in slips(slips(word)[0])[:8])]
+        names += [(word, f"{p}{w} {k}{z}") for w, n in forms for p, k, z in heads[:n]]
+    # other people under a family name one slip away, and a brand met as often as its neighbour, stand for themselves
+    names += [("Bruno", f"{p}Tirdanekolimat {k}") for p in ("Bruno ", "B. ") for k in ("Engineering", "Eng.", "Engrg")]
+    names += [(b, f"{b} {k}") for b in ("Zolantebury", "Zolanteburry") for k in ("Autosport", "Auto Sport", "Autosport Ltd")]
+    names = sorted({n: g for g, n in names}.items())
+    df = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(names)], "name_id bigint, team_name string")
+    got = {r["id"]: r["class_id"] for r in variants.classes(variants.link(df)).collect()}
+    assert len(names) > 1000
+    assert len({(got[i], g) for i, (_, g) in enumerate(names)}) == len(set(got.values())) == len({g for _, g in names})
+
+
 def test_long_name(spark):
     df = spark.createDataFrame([(1, "Alpha " * 5000), (2, "Alpha Racing")], "name_id bigint, team_name string")
     assert variants.classes(variants.link(df)).count() == 2
