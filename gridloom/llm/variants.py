@@ -51,8 +51,10 @@ _LEGAL = re.compile(r"(?<!\w)(?:ltd|gmbh|co|inc|spa|s\.?a|ag|kg|plc|llc|team|the
 _JOINERS = frozenset({"and", "und", "et", "of"})
 _PARTNERS = re.compile(r"&|\+|/| and | und |,.*,")
 
-#: q-grams of key words and the least Jaccard similarity of their sets; one slip in a word of seven or more letters stays above
-Q, SIM = 3, 0.25
+#: q-grams of key words and the least Jaccard similarity of their sets.  One slip changes four trigrams at most on either
+#: side, so where one word has ``RICH`` of them 3 of 11 are common; poorer words, short or repetitive, are joined by
+#: bigrams, of which one slip changes three at most and leaves two, so 2 of 8 are common
+Q, SIM, RICH = 3, 0.25, 7
 
 #: how many times as often as its slip a word is met at least, where given names do not tell
 RATIO = 2
@@ -121,6 +123,19 @@ def _parsed(df: DataFrame, id_: str, field: str) -> DataFrame:
     return rows.mapInPandas(run, "id bigint, given string, keys array<string>, kind string, partners boolean")
 
 
+def slips(words: DataFrame) -> DataFrame:
+    """(ida, idb), ``ida < idb``: all pairs of the distinct words of four letters or more that are one slip apart."""
+    sets = words.select(F.col("word").alias("id"), qgrams("word", Q).alias("toks"))
+    poor = sets.where(F.size("toks") < RICH).select("id", qgrams("id", Q - 1).alias("toks"))
+    pairs = jaccard_join(sets, None, SIM).unionByName(jaccard_join(poor, None, SIM)).where(F.abs(F.length("ida") - F.length("idb")) <= 1)
+
+    @F.pandas_udf("boolean")
+    def slip(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one_typo(x, y) for x, y in zip(a, b)])
+
+    return pairs.select("ida", "idb").distinct().where(slip("ida", "idb"))
+
+
 def canonical_words(parsed: DataFrame) -> DataFrame:
     """(word, root): each key word that is a slip of a better supported one, and that one.
 
@@ -138,13 +153,7 @@ def canonical_words(parsed: DataFrame) -> DataFrame:
         F.collect_set(F.when(F.length("given") > 0, F.col("given"))).alias("givens"),  # names, short forms and initials: bounded
     )
     words = checkpoint(words, parsed.sparkSession)
-    pairs = jaccard_join(words.select(F.col("word").alias("id"), qgrams("word", Q).alias("toks")), None, SIM)
-
-    @F.pandas_udf("boolean")
-    def slip(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([one_typo(x, y) for x, y in zip(a, b)])
-
-    pairs = pairs.where((F.abs(F.length("ida") - F.length("idb")) <= 1)).where(slip("ida", "idb"))
+    pairs = slips(words.select("word"))
     both = pairs.select(F.col("ida").alias("word"), F.col("idb").alias("other")).unionByName(pairs.select(F.col("idb").alias("word"), F.col("ida").alias("other")))
     w, o = words.select("word", "n", "kinds", "givens"), words.select(F.col("word").alias("other"), F.col("n").alias("on"), F.col("kinds").alias("okinds"), F.col("givens").alias("ogivens"))
     met = both.join(w, "word").join(o, "other")

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import check
 
-from gridloom.functions.editdist import osa
+from gridloom.functions.editdist import one_typo, osa
 from gridloom.llm import canonical, persons, queries, setjoin, variants
 
 
@@ -138,6 +138,15 @@ def test_slips_met_often_go_to_their_word(spark):
     assert len({(got[i], g) for i, (_, g) in enumerate(names)}) == len(set(got.values())) == len({g for _, g in names})
 
 
+def test_slips_of_short_and_repetitive_words(spark):
+    words = {w for base in ("kolb", "mavil", "dorbus", "verkani", "aaaaasda", "asasasas") for w in (base, *(base[:i] + base[i + 1] + base[i] + base[i + 2 :] for i in range(len(base) - 1)), *(base[:i] + "s" + base[i + 1 :] for i in range(len(base))), *(base[:i] + "e" + base[i:] for i in range(len(base))))}
+    want = {(a, b) for a, b in itertools.combinations(sorted(words), 2) if one_typo(a, b)}
+    got = variants.slips(spark.createDataFrame([(w,) for w in sorted(words)], "word string")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    names = spark.createDataFrame([(1, "Mavil Racing"), (2, "Mavil Rcg"), (3, "Maivl Racing"), (4, "Kolb Racing"), (5, "Kobl Racing")], "name_id bigint, team_name string")
+    assert rows(variants.pairs(variants.link(names))) == [(1, 2), (1, 3), (2, 3), (4, 5)]
+
+
 def test_long_name(spark):
     df = spark.createDataFrame([(1, "Alpha " * 5000), (2, "Alpha Racing")], "name_id bigint, team_name string")
     assert variants.classes(variants.link(df)).count() == 2
