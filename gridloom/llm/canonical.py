@@ -260,7 +260,7 @@ def map_nationalities(typed: DataFrame, entries: DataFrame) -> DataFrame:
         forms = clean_nationality(raw)
         if forms is None:
             return None
-        found = [(d, pos, s, entry[name]) for pos, form in enumerate(forms) for d, s, name in index.match(form)[:3]]
+        found = [(d, pos, s, entry[name]) for pos, form in enumerate(forms) for d, s, name in index.match(form)]
         return min(found)[3] if found else 0
 
     return _mapped(typed, choose)
@@ -289,7 +289,7 @@ def map_places(typed: DataFrame, entries: DataFrame, nations: DataFrame) -> Data
             return None
         name, region, code = place
         home = ""
-        if not code and name and sum(len(towns[x]) for d, _, x in index.match(name)[:3] if d < 2) > 1:
+        if not code and name and sum(len(towns[x]) for d, _, x in index.match(name) if d < 2) > 1:
             found = [m[0] for f in clean_nationality(hint) or () if (m := nation.match(f))]
             home = nation_code[nation_entry[min(found)[2]]] if found else ""
         best = []

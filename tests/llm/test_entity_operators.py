@@ -86,6 +86,12 @@ def test_places(spark, nations):
     assert [got[i] for i in range(len(typed))] == [1, 2, 1, 3, 3, 4, 3, 0, 0, 0, 3, 0] and 99 not in got and 98 not in got
 
 
+def test_ties_between_many_near_entries(spark):
+    entries = spark.createDataFrame([(9 - i, f"{x}orlandavian", None, None) for i, x in enumerate("abcdeg")], "ref_id bigint, demonym string, country string, code string")
+    typed = canonical.typed_values(spark.createDataFrame([(1, "Zorlandavian")], "k bigint, v string"), "k", "v", "v")
+    assert rows(canonical.map_nationalities(typed, entries), "ref_id") == [(4,)]
+
+
 def test_large_lists_use_the_join(spark):
     values = spark.createDataFrame([("alphavile",), ("zzz",)], "value string")
     names = spark.createDataFrame([("alphaville",), ("betatown",)], "alias string")
