@@ -61,7 +61,7 @@ def p6_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms that mark few records and this one strongly: scored by the mixture, then held against the exact counts."""
+    """Terms that mark few records and this one strongly: selected by the exact counts alone, every term having a score in p6_scores."""
     rows = p6_scores(spark, sf).where("score is not null")
     few = (F.col("field") == "first_1000_words") & (F.col("tf") >= 5) & (F.col("df") <= 3)
     shared = (F.col("field") == "teams") & F.col("df").between(2, 3)
