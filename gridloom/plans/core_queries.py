@@ -235,6 +235,62 @@ def section_teams(spark: SparkSession, sf: str) -> DataFrame:
     return pages(spark).where("html is not null").select("page_id", F.array_join(H.teams("html"), "; ").alias("teams"))
 
 
+_LABEL = '<div class="database-data__head">{}</div> <div class="database-data__content">'
+#: pages built from all records: text and column in turn, a text last; nulls stand for nothing
+DRIVER_PAGE = ('<h1 class="hero__title">', "driver_name", "</h1>" + _LABEL.format("Born"), "birth_date", '</div><div class="database-data__content database-data__icon"><img src="f.png" alt="', "nationality", '"></div>' + _LABEL.format("Starts"), "starts",
+               "</div>" + _LABEL.format("Wins"), "wins", "</div>" + _LABEL.format("Poles"), "poles", "</div>" + _LABEL.format("Podiums"), "podiums", "</div>")
+TEAM_PAGE = ('<section class="s" id="teams"><table><tr><th>Teams</th></tr><tr><td><a>', "teams", "</a></td></tr></table></section>")
+
+
+def built_pages(spark: SparkSession, sf: str, name: str, key: str, parts: tuple[str, ...]) -> DataFrame:
+    rows = table(spark, sf, name).select(key, *parts[1::2]).distinct()
+    return rows.select(F.col(key).alias("page_id"), F.concat(*(F.coalesce(F.col(x), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts))).alias("html"))
+
+
+def _built_sql(name: str, key: str, parts: tuple[str, ...]) -> str:
+    html = " || ".join(f"coalesce({x}, '')" if i % 2 else f"'{x}'" for i, x in enumerate(parts))
+    return f"pages as (select {key} as page_id, {html} as html from (select distinct {', '.join((key, *parts[1::2]))} from {name}))"
+
+
+@query(ORACLE["html_fields"].replace(_PAGE_VALUES, _built_sql("drivers", "driver_id", DRIVER_PAGE)))
+def driver_page_fields(spark: SparkSession, sf: str) -> DataFrame:
+    html = built_pages(spark, sf, "drivers", "driver_id", DRIVER_PAGE)
+    return html.select("page_id", H.page_title("html").alias("name"), H.born("html").alias("birth_date"), H.nationality("html").alias("nationality"), *(H.stat("html", s).alias(s) for s in H.STATS))
+
+
+@query(ORACLE["section_teams"].replace(_PAGE_VALUES, _built_sql("drivers_teams", "rec_id", TEAM_PAGE)))
+def driver_page_teams(spark: SparkSession, sf: str) -> DataFrame:
+    return built_pages(spark, sf, "drivers_teams", "rec_id", TEAM_PAGE).select("page_id", F.array_join(H.teams("html"), "; ").alias("teams"))
+
+
+_LABEL = '<div class="database-data__head">{}</div> <div class="database-data__content">'
+#: pages built from all records: text and column in turn, a text last; nulls stand for nothing
+DRIVER_PAGE = ('<h1 class="hero__title">', "driver_name", "</h1>" + _LABEL.format("Born"), "birth_date", '</div><div class="database-data__content database-data__icon"><img src="f.png" alt="', "nationality", '"></div>' + _LABEL.format("Starts"), "starts",
+               "</div>" + _LABEL.format("Wins"), "wins", "</div>" + _LABEL.format("Poles"), "poles", "</div>" + _LABEL.format("Podiums"), "podiums", "</div>")
+TEAM_PAGE = ('<section class="s" id="teams"><table><tr><th>Teams</th></tr><tr><td><a>', "teams", "</a></td></tr></table></section>")
+
+
+def built_pages(spark: SparkSession, sf: str, name: str, key: str, parts: tuple[str, ...]) -> DataFrame:
+    rows = table(spark, sf, name).select(key, *parts[1::2]).distinct()
+    return rows.select(F.col(key).alias("page_id"), F.concat(*(F.coalesce(F.col(x), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts))).alias("html"))
+
+
+def _built_sql(name: str, key: str, parts: tuple[str, ...]) -> str:
+    html = " || ".join(f"coalesce({x}, '')" if i % 2 else f"'{x}'" for i, x in enumerate(parts))
+    return f"pages as (select {key} as page_id, {html} as html from (select distinct {', '.join((key, *parts[1::2]))} from {name}))"
+
+
+@query(ORACLE["html_fields"].replace(_PAGE_VALUES, _built_sql("drivers", "driver_id", DRIVER_PAGE)))
+def driver_page_fields(spark: SparkSession, sf: str) -> DataFrame:
+    html = built_pages(spark, sf, "drivers", "driver_id", DRIVER_PAGE)
+    return html.select("page_id", H.page_title("html").alias("name"), H.born("html").alias("birth_date"), H.nationality("html").alias("nationality"), *(H.stat("html", s).alias(s) for s in H.STATS))
+
+
+@query(ORACLE["section_teams"].replace(_PAGE_VALUES, _built_sql("drivers_teams", "rec_id", TEAM_PAGE)))
+def driver_page_teams(spark: SparkSession, sf: str) -> DataFrame:
+    return built_pages(spark, sf, "drivers_teams", "rec_id", TEAM_PAGE).select("page_id", F.array_join(H.teams("html"), "; ").alias("teams"))
+
+
 BASE = "https://racedb.example/drivers/"
 
 
