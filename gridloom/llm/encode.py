@@ -15,8 +15,8 @@ the open piece is carried into the next one.
 
 Defined results: null and empty texts give an empty list; special-token
 strings in a text are ordinary text; whole texts are encoded.  Rows that
-repeat a document id with equal text each come out with its ids; rows without
-an id are left out; further columns are ignored.
+repeat a document id each come out with the ids of their own text; rows
+without an id are left out; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.sources.tables import spread
@@ -59,46 +59,68 @@ def encoding(folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY):
     return tiktoken.Encoding("byte_bpe", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(4)
+def token_bytes(folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> np.ndarray:
+    """The length of every token."""
+    enc = encoding(folder, vocabulary)
+    return np.array([len(x) for x in enc.decode_tokens_bytes(list(range(enc.n_vocab)))], dtype=np.int64)
+
+
+def cut(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """(text, start, end) of the content-defined chunks of many texts that lie in one array of UTF-8 bytes.
+
+    The hash of a place sums the last ``WINDOW`` bytes, the older ones shifted
+    further, built by doubling.  It reads bytes of the text before only where
+    no border may stand, as chunks have ``LEAST`` bytes.
+    """
+    h = _GEAR[data]
+    width = 1
+    while width < WINDOW:
+        h[width:] += h[:-width] << np.uint32(width)
+        width *= 2
+    whole = (data & 0xC0) != 0x80  # a border may stand before byte i
+    marks = np.flatnonzero(((h >> np.uint32(7)) & np.uint32(MASK)) == 0) + 1
+    marks = marks[marks < len(data)]
+    marks = marks[whole[marks]]
+    first, last = np.searchsorted(marks, begin, side="right").tolist(), np.searchsorted(marks, end, side="left").tolist()
+    marks = marks.tolist()
+    text, start, stop = [], [], []
+    for i, (a, z, lo, hi) in enumerate(zip(begin.tolist(), end.tolist(), first, last)):
+        for m in [*marks[lo:hi], z]:
+            while m - a > MOST:
+                c = a + MOST
+                while not whole[c]:
+                    c -= 1
+                text.append(i)
+                start.append(a)
+                stop.append(c)
+                a = c
+            if (m - a >= LEAST or m == z) and m > a:
+                text.append(i)
+                start.append(a)
+                stop.append(m)
+                a = m
+    return text, start, stop
+
+
 def chunks(text: str) -> list[str]:
     """Content-defined chunks; their concatenation is the text and no character is cut."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    n = len(data)
-    if n <= LEAST:
-        return [text] if n else []
-    g = _GEAR[data]
-    h = np.zeros(n, dtype=np.uint32)
-    for j in range(min(WINDOW, n)):  # h[i] sums the last WINDOW bytes, the older ones shifted further
-        h[j:] += g[: n - j] << np.uint32(j)
-    whole = np.ones(n + 1, dtype=bool)
-    whole[:n] = (data & 0xC0) != 0x80  # a border may stand before byte i
-    marks = np.flatnonzero(((h >> np.uint32(7)) & np.uint32(MASK)) == 0) + 1
-    cuts, last = [], 0
-    raw = data.tobytes()
-    for m in marks[whole[marks]].tolist():
-        while m - last > MOST:
-            c = last + MOST
-            while not whole[c]:
-                c -= 1
-            cuts.append(c)
-            last = c
-        if m - last >= LEAST and m < n:
-            cuts.append(m)
-            last = m
-    while n - last > MOST:
-        c = last + MOST
-        while not whole[c]:
-            c -= 1
-        cuts.append(c)
-        last = c
-    ends = [*cuts, n]
-    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *cuts], ends)]
-
-
-def encode_chunk(text: str, enc=None) -> tuple[list[int], int]:
+    raw = text.encode("utf-8", "surrogatepass")
+    data = np.frombuffer(raw, dtype=np.uint8)
+    _, start, end = cut(data, np.array([0]), np.array([len(data)]))
+    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start, end)]
+
+
+def encode_chunk(text: str, enc=None, lengths: np.ndarray | None = None) -> tuple[list[int], int]:
     """Ids of a chunk, and how many of them stand for its open end."""
     enc = enc or encoding()
+    lengths = token_bytes() if lengths is None else lengths
     ids = enc.encode_ordinary(text)
-    return ids, sum(len(enc.encode_ordinary(p)) for p in open_end(text))
+    left, n = sum(len(p.encode("utf-8", "surrogatepass")) for p in open_end(text)), 0
+    while left > 0:
+        n += 1
+        left -= lengths[ids[-n]]
+    return ids, n
 
 
 def open_end(text: str) -> list[str]:
@@ -113,44 +135,51 @@ def open_end(text: str) -> list[str]:
     return _PIECE.findall(text)[-2:]
 
 
-def join_chunks(parts: list[tuple[list[int], int]], enc=None) -> list[int]:
+def joined(parts: list[tuple[Sequence[int], int]], enc=None, lengths: np.ndarray | None = None) -> np.ndarray:
     """Ids of the concatenated chunks: equal to encoding the whole text at once."""
     enc = enc or encoding()
-    out: list[int] = []
+    lengths = token_bytes() if lengths is None else lengths
+    out: list[np.ndarray] = []
     tail: list[int] = []  # ids of the last two pieces, still open
     for ids, n in parts:
-        if not ids:
+        ids = np.asarray(ids, dtype=np.int32)
+        if not len(ids):
             continue
         if not tail:
-            out += ids[: len(ids) - n]
-            tail = list(ids[len(ids) - n :])
+            out.append(ids[: len(ids) - n])
+            tail = ids[len(ids) - n :].tolist()
             continue
         left = enc.decode_bytes(tail).decode("utf-8", "surrogatepass")
-        right = enc.decode_bytes(ids).decode("utf-8", "surrogatepass")
-        both, own, at, used, fresh = left + right, _PIECE.finditer(right), len(left), 0, []
+        right = enc.decode_bytes(ids.tolist()).decode("utf-8", "surrogatepass")
+        both, own, at, fresh = left + right, _PIECE.finditer(right), len(left), []
         agreed = False
         for m in _PIECE.finditer(both):
             if m.end() < len(left):
                 fresh.append(m[0])
                 continue
             while at < m.end():  # the right chunk's own pieces up to here
-                piece = next(own)[0]
-                at += len(piece)
-                used += len(enc.encode_ordinary(piece))
+                at += len(next(own)[0])
             fresh.append(m[0])
             if at == m.end():
                 agreed = at < len(both)
                 break
+        # how many of the right chunk's ids the pieces up to here took
+        used = int(np.searchsorted(np.cumsum(lengths[ids]), len(both[len(left) : at].encode("utf-8", "surrogatepass")), side="right"))
         done = [enc.encode_ordinary(p) for p in fresh]
         if agreed and used < len(ids) - n:
-            out += [i for x in done for i in x] + list(ids[used : len(ids) - n])
-            tail = list(ids[len(ids) - n :])
+            out += [np.array([i for x in done for i in x], dtype=np.int32), ids[used : len(ids) - n]]
+            tail = ids[len(ids) - n :].tolist()
         else:  # the repair reached the right chunk's open end, which may be a single piece
-            rest = list(ids[used:]) if agreed else []
+            rest = ids[used:].tolist() if agreed else []
             keep = 1 if rest else 2
-            out += [i for x in done[:-keep] for i in x]
+            out.append(np.array([i for x in done[:-keep] for i in x], dtype=np.int32))
             tail = [i for x in done[-keep:] for i in x] + rest
-    return out + tail
+    return np.concatenate([*out, np.array(tail, dtype=np.int32)])
+
+
+def join_chunks(parts: list[tuple[Sequence[int], int]]) -> list[int]:
+    """:func:`joined` as a plain list."""
+    return joined(parts).tolist()
 
 
 def encode_by_chunks(text: str | None) -> list[int]:
@@ -158,42 +187,80 @@ def encode_by_chunks(text: str | None) -> list[int]:
     return join_chunks([encode_chunk(c) for c in chunks(text)]) if text else []
 
 
+def _utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a column of texts without nulls, and where each text begins and ends in them; nothing is copied."""
+    raw = texts.cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    body = raw.buffers()[2]
+    return np.frombuffer(body, dtype=np.uint8) if body is not None else np.zeros(0, dtype=np.uint8), ends[:-1], ends[1:]
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    """A list column of arrays of numbers."""
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.LargeListArray.from_arrays(ends, np.concatenate([np.zeros(0, dtype=np.int32), *parts])).cast(pa.list_(pa.int32()))
+
+
 def encode_corpus(df: DataFrame, key: str, field: str, folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids array<int>) of every row.
 
     Three shuffles: distinct chunks by their text's hash, ids back to the
-    documents' chunk lists, chunk lists by document.  A chunk that a third of
-    the corpus shares is combined on the map side and encoded once; its many
-    references are 40-byte rows, and adaptive execution splits the join's
-    partition that holds them.
+    documents' chunk lists, chunk lists by document.  The texts are cut for
+    the chunks and again for the lists, at the speed of the memory, rather
+    than written down.  A chunk that a third of the corpus shares is combined
+    on the map side and encoded once; its many references are 50-byte rows,
+    and adaptive execution splits the join's partition that holds them.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digests(data: np.ndarray, start: list[int], end: list[int]) -> list[bytes]:
+        view = memoryview(data)
+        return [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start, end)]
+
+    def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, pos, digest, body = [], [], [], []
-            for key_, text in zip(batch["k"], batch["t"]):
-                for i, c in enumerate(chunks(text)):
-                    k.append(key_)
-                    pos.append(i)
-                    digest.append(hashlib.blake2b(c.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                    body.append(c)
-            yield pd.DataFrame({"k": pd.Series(k, dtype="int64"), "pos": pd.Series(pos, dtype="int32"), "digest": pd.Series(digest, dtype="object"), "body": pd.Series(body, dtype="object")})
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(folder, vocabulary)
+            data, begin, stop = _utf8(batch.column("t"))
+            text, start, end = cut(data, begin, stop)
+            text = np.array(text, dtype=np.int64)
+            places = np.arange(len(text)) - np.searchsorted(text, text, side="left")
+            take = pa.array(text)
+            columns = [batch.column("k").take(take), batch.column("h").take(take), pa.array(places.astype(np.int32)), pa.array(digests(data, start, end), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "h", "pos", "digest"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [encode_chunk(t, enc) for t in batch["body"]]
-            yield pd.DataFrame({"digest": batch["digest"], "ids": [x for x, _ in done], "tail": pd.Series([n for _, n in done], dtype="int32")})
+            data, begin, stop = _utf8(batch.column("t"))
+            _, start, end = cut(data, begin, stop)
+            once = {d: (a, b) for d, a, b in zip(digests(data, start, end), start, end)}
+            raw = data.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(list(once), pa.binary()), pa.array([raw[a:b] for a, b in once.values()], pa.binary()).cast(pa.string())], ["digest", "body"])
 
-    def repair(parts: pd.Series) -> pd.Series:
-        enc = encoding(folder, vocabulary)
-        return pd.Series([join_chunks([(list(p["ids"]), p["tail"]) for p in row], enc) for row in parts])
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, lengths = encoding(folder, vocabulary), token_bytes(folder, vocabulary)
+        for batch in batches:
+            done = [encode_chunk(t, enc, lengths) for t in batch.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), _lists([np.array(x, dtype=np.int32) for x, _ in done]), pa.array([n for _, n in done], pa.int32())], ["digest", "ids", "tail"])
+
+    def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, lengths = encoding(folder, vocabulary), token_bytes(folder, vocabulary)
+        for batch in batches:
+            parts = batch.column("parts")
+            flat = parts.flatten()
+            ids = flat.field("ids")
+            values, ends, tails = ids.values.to_numpy(), ids.offsets.to_numpy(), flat.field("tail").to_numpy()
+            out, keys, at = [], [], 0
+            for k, n, copies in zip(batch.column("k").to_pylist(), parts.value_lengths().to_pylist(), batch.column("copies").to_pylist()):
+                whole = joined([(values[ends[i] : ends[i + 1]], int(tails[i])) for i in range(at, at + n)], enc, lengths)
+                out += [whole] * copies
+                keys += [k] * copies
+                at += n
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), _lists(out)], ["k", "ids"])
 
     rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(field).cast("string").alias("t")).where("k is not null")
-    full = spread(rows.where(F.length("t") > 0))
-    lists = full.mapInPandas(cut, "k bigint, pos int, digest binary, body string")
-    book = lists.groupBy("digest").agg(F.first("body").alias("body")).mapInPandas(encode, "digest binary, ids array<int>, tail int")
-    joined = lists.select("k", "pos", "digest").join(book, "digest").groupBy("k").agg(F.sort_array(F.collect_set(F.struct("pos", "ids", "tail"))).alias("parts"))
-    ids = joined.select("k", F.pandas_udf(repair, "array<int>")("parts").alias("ids"))
-    none: Column = F.array().cast("array<int>")
-    return rows.select("k").join(ids, "k", "left").select(F.col("k").alias(key), F.coalesce("ids", none).alias("ids"))
+    filled = F.coalesce(F.length("t"), F.lit(0)) > 0
+    full = spread(rows.where(filled)).withColumn("h", F.xxhash64("t"))
+    refs = full.mapInArrow(refer, "k bigint, h bigint, pos int, digest binary")
+    book = full.select("t").mapInArrow(gather, "digest binary, body string").groupBy("digest").agg(F.first("body").alias("body")).mapInArrow(encode, "digest binary, ids array<int>, tail int")
+    parts = refs.join(book, "digest").groupBy("k", "h").agg(F.sort_array(F.collect_set(F.struct("pos", "ids", "tail"))).alias("parts"), F.count_if(F.col("pos") == 0).alias("copies"))
+    ids = parts.select("k", "parts", "copies").mapInArrow(repair, "k bigint, ids array<int>")
+    none = rows.where(~filled).select("k", F.array().cast("array<int>").alias("ids"))
+    return ids.unionByName(none).withColumnRenamed("k", key)
