@@ -26,6 +26,8 @@ _TEMPLATE = re.compile(r"\{\{([^{}]*)\}\}")
 _LISTLINE = re.compile(r"(?:^|\n)[ \t]*[*#]+[ \t]*")
 _QUOTES = re.compile(r"'{2,5}")
 _SPACE = re.compile(r"\s+")
+#: a text without any of these holds nothing to resolve
+_SPECIAL = re.compile(r"[\[\]{}<'&*#]")
 
 #: templates whose parameters are list items
 LISTS = frozenset({"plainlist", "ubl", "unbulleted list", "hlist", "flatlist", "plain list", "ublist", "bulleted list"})
@@ -61,18 +63,21 @@ def expand_template(body: str, mark: bool = False) -> str:
 
 def strip_inline(text: str, mark: bool = False) -> str:
     """Resolve comments, references, links, templates and tags; breaks and list items become ``ITEM``."""
-    text = _HIDDEN.sub("", _REF.sub("", _COMMENT.sub("", text)))
-    text = _BREAK.sub(ITEM, text)
+    if not _SPECIAL.search(text):
+        return text
+    if "<" in text:
+        text = _BREAK.sub(ITEM, _HIDDEN.sub("", _REF.sub("", _COMMENT.sub("", text))))
     wrap = (lambda s: f"{OPEN}{_atoms(s)}{CLOSE}" if s.strip() else "") if mark else (lambda s: s)
-    for _ in range(12):  # nesting in depth; each round resolves the innermost level
+    before = ""
+    while text != before and ("[[" in text or "{{" in text):  # each round resolves the innermost level
         before = text
         text = _FILE.sub("", text)
         text = _LINK.sub(lambda m: wrap(m[2] if m[2] is not None and m[2].strip() else m[1].lstrip(":")), text)
         text = _TEMPLATE.sub(lambda m: expand_template(m[1], mark), text)
-        if text == before:
-            break
-    text = _EXT.sub(lambda m: m[1], text)
-    text = re.sub(r"\{\{[^{}\n]*$|\}\}", "", text)
+    if "[" in text:
+        text = _EXT.sub(lambda m: m[1], text)
+    if "{{" in text or "}}" in text:
+        text = re.sub(r"\{\{[^{}\n]*$|\}\}", "", text)
     text = _LISTLINE.sub(ITEM, text)
     if mark:
         text = re.sub(r"('{2,5})((?:(?!'').)+?)\1", lambda m: wrap(m[2]), text)
