@@ -4,8 +4,10 @@ A text is cut into flat blocks.  Each block carries shallow features: its word
 count and link density, those of its neighbours, and which block marker the
 markup gave it.  A decision tree trained on the small labelled table below
 decides what a block is: ``heading``, ``list_item``, ``code``, ``formula``,
-``paragraph`` or ``drop`` (data boxes, tables, captions, category lines,
-navigation made of links).
+``value`` (a line of a data box), ``paragraph`` or ``drop`` (tables, captions,
+category lines, navigation made of links).  A line that opens with ``#`` and
+stands alone in a text whose markup nothing else tells may be a heading or an
+item of a numbered list; its length and its neighbours decide.
 
 Defined results: null, empty and blank texts give no blocks; a text without
 any markup is one paragraph per blank-line block; unclosed constructs end at
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.wikivalue import ITEM, collapse, expand_template, has_markup, strip_inline, visible_lines
 from gridloom.llm import dtree
 
-MARKS = ("text", "head", "item", "verb", "math", "table", "media", "meta", "quote")
+MARKS = ("text", "head", "item", "verb", "math", "table", "media", "meta", "quote", "hash", "run", "box")
 FEATURES = ("words", "links", "prev_words", "prev_links", "next_words", "next_links", *MARKS)
 
 #: Labelled blocks: mark, words, link density, words and density before, words and density after, class.
@@ -81,6 +83,29 @@ meta 4 0.00 3 0.00 0 0.00 drop
 quote 4 0.00 30 0.00 30 0.00 paragraph
 quote 20 0.10 3 0.00 3 0.00 paragraph
 quote 0 0.00 30 0.00 30 0.00 drop
+hash 3 0.00 42 0.00 38 0.00 heading
+hash 2 0.00 0 0.00 55 0.00 heading
+hash 4 0.00 24 0.10 20 0.00 heading
+hash 5 0.50 60 0.00 30 0.10 heading
+hash 6 0.00 30 0.00 0 0.00 heading
+hash 3 1.00 28 0.00 40 0.00 heading
+hash 3 1.00 4 1.00 3 1.00 list_item
+hash 2 1.00 3 1.00 0 0.00 list_item
+hash 25 0.00 40 0.00 38 0.00 list_item
+hash 19 0.10 18 0.00 22 0.00 list_item
+hash 0 0.00 30 0.00 30 0.00 drop
+run 3 0.00 40 0.00 4 0.00 list_item
+run 4 0.00 6 0.00 30 0.00 list_item
+run 5 0.20 3 0.00 4 0.00 list_item
+run 25 0.00 9 0.00 38 0.00 list_item
+run 0 0.00 30 0.00 30 0.00 drop
+box 1 0.00 0 0.00 0 0.00 value
+box 3 1.00 0 0.00 4 1.00 value
+box 4 0.50 3 1.00 2 0.00 value
+box 2 1.00 2 1.00 2 1.00 value
+box 9 0.00 6 0.00 1 0.00 value
+box 0 0.00 3 0.00 3 0.00 drop
+box 0 0.00 0 0.00 0 0.00 drop
 """
 
 
@@ -112,43 +137,78 @@ def _nwords(text: str) -> int:
 
 # --- which markup -------------------------------------------------------------------------------------------------
 
+#: signs of each markup: what a text must hold for the pattern to be tried, and the pattern
 _SIGNS = {
-    "latex": re.compile(r"\\documentclass|\\begin\{\w+\*?\}|\\(?:sub)*section\*?\{|\\(?:emph|textbf|textit|underline|textsc|cite|href|item)\b|\{\\(?:bf|it|em|sc)\b"),
-    "html": re.compile(r"<(?:p|html|body|head|div|article|main|section)\b[^<>]*>", re.I),
-    "wiki": re.compile(r"\[\[[^\[\]\n]+\]\]|\{\{[^{}\n]*(?:\||\}\})|\{\{infobox|^\{\||<ref\b|<nowiki>|<math\b|<source\b|<syntaxhighlight\b|'''?[^'\n]+'''?|\[https?://\S+ [^\]\n]+\]|^={2,6}[^=\n].*={2,6}\s*(?:<!--.*)?$|(?-i:__[A-Z]{3,}__)", re.I | re.M),
-    "markdown": re.compile(r"\]\([^()\s]+(?: \"[^\"]*\")?\)|\*\*[^*\s][^*\n]*\*\*|(?<!\w)__[^_\s][^_\n]*__|~~[^~\n]+~~|^(?:```|~~~)|^.*\S.*\n(?:={3,}|-{3,})\s*$|^\|[-:| ]+\|\s*$|(?<![\w*])\*[^\s*][^*\n]*\*(?![\w*])|^\s{0,3}(?:[-+]|\d{1,3}[.)]) \S|^\$\$|^\\[#*]", re.M),
-}
+    "latex": (
+        ("\\", r"\\documentclass|\\begin\{\w+\*?\}|\\(?:sub)*section\*?\{|\\(?:emph|textbf|textit|underline|textsc|cite|href|item)\b|\{\\(?:bf|it|em|sc)\b"),
+    ),
+    "html": (
+        ("<", r"(?i:<(?:p|html|body|head|div|article|main|section)\b[^<>]*>)"),
+    ),
+    "wiki": (
+        ("[[", r"\[\[[^\[\]\n]+\]\]"),
+        ("{{", r"\{\{[^{}\n]*(?:\||\}\})|(?i:\{\{infobox)"),
+        ("{|", r"^\{\|"),
+        ("<", r"(?i:<ref\b|<nowiki>|<math\b|<source\b|<syntaxhighlight\b)"),
+        ("''", r"'''?[^'\n]+'''?"),
+        ("://", r"(?i:\[https?://)\S+ [^\]\n]+\]"),
+        ("==", r"^={2,6}[^=\n].*={2,6}\s*(?:<!--.*)?$"),
+        ("__", r"__[A-Z]{3,}__"),
+    ),
+    "markdown": (
+        ("](", r"\]\([^()\s]+(?: \"[^\"]*\")?\)"),
+        ("**", r"\*\*[^*\s][^*\n]*\*\*"),
+        ("__", r"(?<!\w)__[^_\s][^_\n]*__"),
+        ("~~", r"~~[^~\n]+~~"),
+        ("```", r"^```"),
+        ("~~~", r"^~~~"),
+        ("\n===", r"(?<=\S)[^\S\n]*\n={3,}\s*$"),
+        ("\n---", r"(?<=\S)[^\S\n]*\n-{3,}\s*$"),
+        ("|", r"^\|[-:| ]+\|\s*$"),
+        ("*", r"(?<![\w*])\*[^\s*][^*\n]*\*(?![\w*])"),
+        ("", r"^\s{0,3}(?:[-+]|\d{1,3}[.)]) \S"),
+        ("$$", r"^\$\$"),
+        ("\\", r"^\\[#*]"),
+    ),
+}
 #: line starts that mean a list in wiki markup and a heading or list in Markdown; they decide only where nothing else does
-_EITHER = re.compile(r"^#{1,6} \S|^\s{0,3}\* \S", re.M)
-#: list lines without a blank after the mark, and lists of '#' lines
-_TIGHT = re.compile(r"^[*#]{1,4}[^\s*#]|^#{1,4} [^\n]*\n#{1,4} ", re.M)
+_EITHER = re.compile(r"^#{1,6} ?\S|^\s{0,3}\*+ ?\S", re.M)
 _INFOBOX = re.compile(r"\{\{\s*infobox", re.I)
 
 
+@lru_cache(4096)
+def _pattern(kind: str, held: tuple[bool, ...]) -> re.Pattern | None:
+    """The signs of a markup that a text which holds these strings can show."""
+    parts = [p for (_, p), yes in zip(_SIGNS[kind], held) if yes]
+    return re.compile("|".join(parts), re.M) if parts else None
+
+
+def _signs(kind: str, text: str) -> list[str]:
+    pattern = _pattern(kind, tuple(sign in text for sign, _ in _SIGNS[kind]))
+    return [m[0] for m in pattern.finditer(text)] if pattern else []
+
+
 def dialect(text: str) -> str:
-    """latex, html, wiki, markdown or plain, by the signs that a text shows most."""
-    if _INFOBOX.search(text):
-        body = _drop_templates(text)
-    else:
-        body = text
-    n = {k: sum(1 for _ in p.finditer(body)) for k, p in _SIGNS.items()}
-    if n["html"] and not _INFOBOX.search(text) and n["html"] >= n["wiki"]:
+    """latex, html, wiki, markdown, either (list and heading signs that wiki and Markdown share, and nothing else) or plain."""
+    box = bool(_INFOBOX.search(text))
+    body = _drop_templates(text) if box else text
+    found = {k: _signs(k, body) for k in _SIGNS}
+    n = {k: len(x) for k, x in found.items()}
+    if n["html"] and not box and n["html"] >= n["wiki"]:
         return "html"
     if n["latex"] and n["latex"] >= max(n["wiki"], n["markdown"]):
         return "latex"
-    if body is not text and n["wiki"] == 0 and n["markdown"] and not re.search(r"^\*\*?\s*\S|^#\s*\S", body, re.M):
+    if box and n["wiki"] == 0 and n["markdown"] and not re.search(r"^\*\*?\s*\S|^#\s*\S", body, re.M):
         return "markdown"
     if n["wiki"] and n["wiki"] >= 0.5 * n["markdown"]:
-        bare = re.fullmatch(r"\{\{\s*\w+\s*\}\}", next(_SIGNS["wiki"].finditer(body))[0])
+        bare = re.fullmatch(r"\{\{\s*\w+\s*\}\}", found["wiki"][0])
         return "plain" if bare and n["wiki"] == 1 and not n["markdown"] else "wiki"
-    if body is not text:
+    if box:
         return "wiki"
     if n["markdown"]:
         return "markdown"
-    if _TIGHT.search(body):
-        return "wiki"
     if _EITHER.search(body):
-        return "markdown"
+        return "either"
     return "html" if re.search(r"</[a-z][a-z0-9]*>", text, re.I) else "plain"
 
 
@@ -192,13 +252,11 @@ def _drop_templates(text: str) -> str:
     return text
 
 
-def _drop_media(text: str) -> tuple[str, int]:
-    n = 0
+def _drop_media(text: str) -> str:
     while m := _MEDIA.search(text):
         end = _balanced(text, m.start(), "[[", "]]")
         text = text[: m.start()] + text[end if end > 0 else m.start() + 2 :]
-        n += 1
-    return text, n
+    return text
 
 
 def _wiki_inline(text: str, held: list[tuple[str, str]]) -> str:
@@ -223,12 +281,11 @@ def _wiki(text: str) -> Iterator[Raw]:
 
     text = _HIDE.sub("", _WIKI_SPECIAL.sub(hold, text))
     text = _drop_templates(text)
-    for _ in range(12):
-        new = _INNER.sub(lambda m: expand_template(m[1]).replace(ITEM, "\n* "), text)
-        if new == text:
-            break
-        text = new
-    text, _ = _drop_media(text)
+    before = ""
+    while text != before and "{{" in text:  # each round resolves the innermost level
+        before = text
+        text = _INNER.sub(lambda m: expand_template(m[1]).replace(ITEM, "\n* "), text)
+    text = _drop_media(text)
     text = _TAGBLOCK.sub(lambda m: f"\n\x06{m[1][0].lower()}{_SPACED.sub(' ', m[2]).replace(chr(10), ' ').strip()}\n", text)
     para: list[str] = []
     depth = 0
@@ -286,6 +343,28 @@ def _wiki(text: str) -> Iterator[Raw]:
     yield from flush()
 
 
+_HASH = re.compile(r"#{1,6}\s*(\S.*?)(?:\s+#+)?\s*$")
+_STAR = re.compile(r"\s{0,3}\*+\s*(\S.*)$")
+
+
+def _either(text: str) -> Iterator[Raw]:
+    """Lines that open with ``#``: next to another list line they are a ``run``, else the tree has their length and neighbours."""
+    lines = [*text.split("\n"), ""]
+    listed = [bool(_HASH.match(x) or _STAR.match(x)) for x in lines]
+    para: list[str] = []
+    for i, line in enumerate(lines):
+        if listed[i] or not line.strip():
+            if para:
+                yield from _wiki(" ".join(para))
+                para = []
+        if m := _HASH.match(line):
+            yield "run" if (i and listed[i - 1]) or listed[i + 1] else "hash", _wiki_inline(m[1], []), 0
+        elif m := _STAR.match(line):
+            yield "item", _wiki_inline(m[1], []), 0
+        elif line.strip():
+            para.append(line.strip())
+
+
 # --- HTML ---------------------------------------------------------------------------------------------------------
 
 _HTML_TOKEN = re.compile(
@@ -364,14 +443,11 @@ def _md_inline(text: str) -> str:
         return f"\x04{len(codes) - 1}\x05"
 
     text = _MD_CODE.sub(keep, _MD_IMAGE.sub("", text))
-    for _ in range(3):
-        text = _MD_LINK.sub(lambda m: m[1] if m[1] is not None else m[2], text)
+    while (new := _MD_LINK.sub(lambda m: m[1] if m[1] is not None else m[2], text)) != text:
+        text = new
     text = _MD_AUTO.sub(lambda m: m[1], text)
     text = re.sub(r"<!--.*?-->|</?[A-Za-z][^<>]*>", "", text)
-    for _ in range(4):
-        new = _MD_UNDER.sub(lambda m: m[2], _MD_EMPH.sub(lambda m: m[2], text))
-        if new == text:
-            break
+    while (new := _MD_UNDER.sub(lambda m: m[2], _MD_EMPH.sub(lambda m: m[2], text))) != text:
         text = new
     text = html.unescape(_MD_ESC.sub(lambda m: m[1], text))
     return collapse(_HOLD.sub(lambda m: codes[int(m[1])], text))
@@ -562,7 +638,23 @@ def _plain(text: str) -> Iterator[Raw]:
             yield "text", collapse(block), 0
 
 
-_SEGMENT = {"wiki": _wiki, "html": _html, "markdown": _markdown, "latex": _latex, "plain": _plain}
+_SEGMENT = {"wiki": _wiki, "either": _either, "html": _html, "markdown": _markdown, "latex": _latex, "plain": _plain}
+
+
+def classify(raws: list[Raw]) -> list[tuple[str, str]]:
+    """(kind, content) of the blocks that the tree keeps."""
+    size = [(_nwords(c), min(1.0, k / max(1, _nwords(c)))) for _, c, k in raws]
+    none, out = (0, 0.0), []
+    for (mark, content, _), now, before, after in zip(raws, size, [none, *size], [*size[1:], none]):
+        kind = _kind(mark, now, before, after)
+        if kind != "drop":
+            out.append((kind, content.strip("\n") if kind == "code" else content.strip()))
+    return out
+
+
+@lru_cache(100_000)
+def _kind(mark: str, now: tuple[int, float], before: tuple[int, float], after: tuple[int, float]) -> str:
+    return dtree.predict(tree(), features(mark, now, before, after))
 
 
 def blocks(text: str | None) -> list[tuple[str, str]]:
@@ -570,15 +662,16 @@ def blocks(text: str | None) -> list[tuple[str, str]]:
     if text is None or not text.strip():
         return []
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    raws = list(_SEGMENT[dialect(text)](text))
-    size = [(_nwords(c), min(1.0, k / max(1, _nwords(c)))) for _, c, k in raws]
-    none, out, model = (0, 0.0), [], tree()
-    for i, (mark, content, _) in enumerate(raws):
-        row = features(mark, size[i], size[i - 1] if i else none, size[i + 1] if i + 1 < len(raws) else none)
-        kind = dtree.predict(model, row)
-        if kind != "drop":
-            out.append((kind, content.strip("\n") if kind == "code" else content.strip()))
-    return out
+    return classify(list(_SEGMENT[dialect(text)](text)))
+
+
+def box_lines(raw: str | None) -> list[str]:
+    """The visible lines of a data-box value that holds markup; linked words are those of its links."""
+    if not has_markup(raw):
+        return []
+    links = [collapse(strip_inline(a or b)) for a, b in _LINKED.findall(raw)]
+    lines = [("box", line, sum(_nwords(x) for x in links if x and x in line)) for line in visible_lines(raw)]
+    return [c for kind, c in classify(lines) if kind == "value"]
 
 
 def clean_text(text: str | None) -> str | None:
@@ -592,27 +685,33 @@ def clean_text(text: str | None) -> str | None:
 KINDS = ("heading", "list_item", "code", "formula")
 
 
-def structure(df: DataFrame, key: str, field: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """(key, field, kind, content) of the kept blocks of a whole text column, distinct within a text."""
+def parts(df: DataFrame, key: str, text: str | None, boxes: tuple[str, ...] = (), kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """(key, field, kind, content) of the kept blocks of a whole text column and of the lines of data-box columns, in one pass.
+
+    Contents are distinct within a field of a row.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for k, text in zip(batch["k"], batch["t"]):
-                rows += [(k, kind, c) for kind, c in dict.fromkeys((kind, collapse(c)) for kind, c in blocks(text)) if kind in kinds and c]
-            yield pd.DataFrame(rows, columns=["k", "kind", "content"]).astype({"k": "int64", "kind": "object", "content": "object"})
+            if text is not None:
+                for k, raw in zip(batch["k"], batch["t"]):
+                    rows += [(k, text, kind, c) for kind, c in dict.fromkeys((kind, collapse(c)) for kind, c in blocks(raw)) if kind in kinds and c]
+            for i, field in enumerate(boxes):
+                for k, raw in zip(batch["k"], batch[f"b{i}"]):
+                    rows += [(k, field, "value", line) for line in dict.fromkeys(box_lines(raw))]
+            yield pd.DataFrame(rows, columns=["k", "field", "kind", "content"]).astype({"k": "int64", "field": "object", "kind": "object", "content": "object"})
 
-    rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(field).cast("string").alias("t")).where(F.col("k").isNotNull() & F.col("t").isNotNull())
-    return rows.mapInPandas(run, "k bigint, kind string, content string").select(F.col("k").alias(key), F.lit(field).alias("field"), "kind", "content")
+    own = [F.col(text).cast("string").alias("t")] if text is not None else []
+    rows = df.select(F.col(key).cast("bigint").alias("k"), *own, *(F.col(b).cast("string").alias(f"b{i}") for i, b in enumerate(boxes))).where("k is not null")
+    return rows.mapInPandas(run, "k bigint, field string, kind string, content string").withColumnRenamed("k", key)
 
 
-def values(df: DataFrame, key: str, field: str) -> DataFrame:
-    """(key, field, 'value', content): the visible lines of each value that holds markup."""
+def structure(df: DataFrame, key: str, field: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """(key, field, kind, content) of the kept blocks of a whole text column, distinct within a text."""
+    return parts(df, key, field, kinds=kinds)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, line) for k, raw in zip(batch["k"], batch["t"]) if has_markup(raw) for line in dict.fromkeys(visible_lines(raw))]
-            yield pd.DataFrame(rows, columns=["k", "content"]).astype({"k": "int64", "content": "object"})
 
-    rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(field).cast("string").alias("t")).where(F.col("k").isNotNull() & F.col("t").isNotNull())
-    return rows.mapInPandas(run, "k bigint, content string").select(F.col("k").alias(key), F.lit(field).alias("field"), F.lit("value").alias("kind"), "content")
+def values(df: DataFrame, key: str, field: str) -> DataFrame:
+    """(key, field, 'value', content): the visible lines of each value that holds markup."""
+    return parts(df, key, None, (field,))

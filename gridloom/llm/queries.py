@@ -38,10 +38,7 @@ def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Visible lines of marked-up data-box values, and headings, items, code and formulas of the article texts."""
     pages = table(spark, sf, "spark").select("page_id", "text", "teams_wiki", "birth_place_wiki").dropDuplicates(["page_id"])
-    parts = markup.structure(pages, "page_id", "text")
-    for field in ("teams_wiki", "birth_place_wiki"):
-        parts = parts.unionByName(markup.values(pages, "page_id", field))
-    return parts.select("page_id", "field", "kind", "content")
+    return markup.parts(pages, "page_id", "text", ("teams_wiki", "birth_place_wiki")).select("page_id", "field", "kind", "content")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
