@@ -53,13 +53,17 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p6_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every term of both fields with its counts and its score, rounded to six digits."""
     a = distinctive.score_terms(table(spark, sf, "final_gg"), "driver_id", "first_1000_words").withColumn("field", F.lit("first_1000_words"))
-    b = distinctive.score_terms(table(spark, sf, "drivers_teams"), "rec_id", "teams").withColumn("field", F.lit("teams"))
-    return a.unionByName(b).select("field", "rec_key", "term", "tf", "df", F.round("score", 6).alias("score"))
+    b = distinctive.score_terms(table(spark, sf, "drivers_teams"), "rec_id", "teams", by_the_way=0).withColumn("field", F.lit("teams"))
+    return a.unionByName(b).select("field", "rec_key", "term", "tf", "df", F.round("elite", 6).alias("elite"), F.round("score", 6).alias("score"))
+
+
+#: least score of a term that marks three records at most, a third each, with an elite probability of 0.9
+MARKS_FEW = 0.3
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms that mark few records and this one strongly: selected by the exact counts alone, every term having a score in p6_scores."""
-    rows = p6_scores(spark, sf).where("score is not null")
+    """Terms that mark few records and this one strongly: selected by the mixture's score, held against the exact counts."""
+    rows = p6_scores(spark, sf).where(F.col("score") >= MARKS_FEW)
     few = (F.col("field") == "first_1000_words") & (F.col("tf") >= 5) & (F.col("df") <= 3)
     shared = (F.col("field") == "teams") & F.col("df").between(2, 3)
     return rows.where(few | shared).select("field", "rec_key", "term")
