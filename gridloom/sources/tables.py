@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -9,16 +11,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame, spark: SparkSession, fallback: str = "/tmp/gridloom-checkpoints") -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, which ``spark.checkpoint.dir`` names.
 
-    ``spark.checkpoint.dir`` is read from the session; ``fallback`` serves
-    only where neither the setting nor a checkpoint folder exists, as in
-    local tests.
+    Where nothing is set, a session with a local master gets a new temporary
+    folder; on a cluster that is an error, as each machine would write to its
+    own disk.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = getattr(spark.sparkContext, "_gridloom_folder", None) or tempfile.mkdtemp(prefix="gridloom-")
+        spark.sparkContext._gridloom_folder = folder
+    return folder
+
+
+def checkpoint(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or fallback)
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
