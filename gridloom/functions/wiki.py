@@ -25,7 +25,10 @@ FIELD_ALIASES = {
 NUMBER_FIELDS = ("championships_wiki", "wins_wiki", "entries_wiki", "podiums_wiki", "car_number_wiki", "fastest_laps_wiki", "pol_positions_wiki")
 #: words that make an article one about racing; fixed values
 KEYWORDS = ("racing driver", "race car", "formula one", "nascar", "indycar", "motogp", "wrc", "karting")
-TEMPLATE_DEPTH = 8  # levels of nested templates that the biography cleaner removes
+#: a template without inner ones
+TEMPLATE = r"\{\{[^{}]*\}\}"
+#: one line of a data box: name and value; a value is what stands on its line
+BOX_LINE = r"(?m)^[ \t\r\f\x0B]*\|[ \t\r\f\x0B]*([A-Za-z0-9_() ]+?)[ \t\r\f\x0B]*=[ \t\r\f\x0B]*([^ \t\r\f\x0B\n][^\n]*?)[ \t\r\f\x0B]*$"
 
 
 def about_racing(text: Column | str) -> Column:
@@ -58,11 +61,13 @@ def fields(box: Column | str) -> Column:
 
     Names are lower case and may hold blanks; a value is what stands on its line.
     """
-    pattern = r"^\s*\|\s*([A-Za-z0-9_() ]+?)\s*=\s*(.*?)\s*$"
-    lines = F.filter(F.split(as_col(box), "\n"), lambda x: F.regexp_extract(x, pattern, 2) != "")
-    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, pattern, 1))).alias("k"), F.regexp_extract(x, pattern, 2).alias("v")))
-    last = F.filter(F.transform(pairs, lambda p, i: F.struct(p["k"], p["v"], i.alias("i"))), lambda p: ~F.exists(F.slice(pairs, p["i"] + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_arrays(F.transform(last, lambda p: p["k"]), F.transform(last, lambda p: p["v"]))
+    b, pattern = as_col(box), F.lit("(?d)" + BOX_LINE)
+    names = F.transform(F.regexp_extract_all(b, pattern, F.lit(1)), lambda k: F.lower(F.trim(k)))
+    pairs = F.arrays_zip(names.alias("k"), F.regexp_extract_all(b, pattern, F.lit(2)).alias("v"))
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    # folded once: an earlier pair of the same name makes way, and nothing is worked out again inside the lambda
+    last = F.aggregate(pairs, none, lambda acc, p: F.concat(F.filter(acc, lambda q: q["k"] != p["k"]), F.array(F.struct(p["k"].alias("k"), p["v"].alias("v")))))
+    return F.map_from_entries(last)
 
 
 def field(box_fields: Column, names: tuple[str, ...]) -> Column:
@@ -104,6 +109,7 @@ BIOGRAPHY_STEPS = (
     (r"\b(?:colspan|rowspan|nowrap|style|background|nbsp)\b", ""), ("Category:[^\n]*", ""),
     (r"\b(?:thumb|thumbnail|left|right|center|frame)\b", ""), ("'{2,}", ""),
 )
+#: a word of the running text; fixed value
 WORD = r"\b[A-Za-z][A-Za-z0-9\-']*\b"
 #: letters beyond ASCII become '_', which is part of a word but starts none; other signs beyond ASCII become blanks
 ASCII_STEPS = ((r"[^\p{L}\p{N}\x00-\x7F]", " "), (r"[^\x00-\x7F]", "_"))
@@ -115,11 +121,28 @@ def _plain_letters(text: Column) -> Column:
     return text
 
 
+def without_templates(text: Column | str) -> Column:
+    """Templates removed from the innermost outwards until none is left.
+
+    There are as many rounds as templates are nested in depth; where single
+    braces beside them made a new one, one round for each that is left.
+    """
+    t = as_col(text)
+    rounds = lambda x, n: F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), x, lambda acc, _: F.regexp_replace(acc, TEMPLATE, ""))
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, brace: Column) -> Column:
+        now = F.when(brace == "{{", acc["now"] + 1).otherwise(F.greatest(acc["now"] - 1, F.lit(0)))
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    depth = F.aggregate(F.regexp_extract_all(t, F.lit(r"\{\{|\}\}"), F.lit(0)), zero, step)["most"]
+    first = F.when(t.rlike(TEMPLATE), rounds(t, depth)).otherwise(t)
+    return F.when(first.rlike(TEMPLATE), rounds(first, F.size(F.regexp_extract_all(first, F.lit(r"\}\}"), F.lit(0))))).otherwise(first)
+
+
 def biography(text: Column | str, words: int = 1000) -> Column:
     """The first ``words`` words of two letters or more of an article's running text; null gives ''."""
-    t = _plain_letters(as_col(text))
-    for _ in range(TEMPLATE_DEPTH):
-        t = F.regexp_replace(t, r"\{\{[^{}]*\}\}", "")
+    t = without_templates(_plain_letters(as_col(text)))
     for pattern, into in BIOGRAPHY_STEPS:
         t = F.regexp_replace(t, pattern, into)
     return F.coalesce(_words(t, words), F.lit(""))

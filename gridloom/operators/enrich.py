@@ -22,7 +22,7 @@ def join_by_name(entities: DataFrame, articles: DataFrame, name: str = "driver_n
 
 def article_fields(articles: DataFrame, text: str = "text") -> DataFrame:
     """The articles with the data-box fields, cleaned, and the first words of the running text."""
-    raw = articles.withColumn("_f", wiki.fields(wiki.infobox(text)))
+    raw = articles.withColumn("_f", F.explode(F.array(wiki.infobox(text)))).withColumn("_f", F.explode(F.array(wiki.fields("_f"))))  # the box once, its fields once
     out = raw
     for name, aliases in wiki.FIELD_ALIASES.items():
         value = wiki.field(F.col("_f"), aliases)
