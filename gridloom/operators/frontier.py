@@ -34,6 +34,12 @@ def merge_new(existing: DataFrame, found: DataFrame) -> DataFrame:
     return existing.select("url", "visited").unionByName(new.select("url", F.lit(False).alias("visited")))
 
 
+def merge_flags(existing: DataFrame, found: DataFrame) -> DataFrame:
+    """(url, visited): every link of both once, visited where either says so; combined before the shuffle."""
+    both = existing.select("url", "visited").unionByName(found.select("url", "visited")).where("url is not null")
+    return both.groupBy("url").agg(F.max(F.coalesce("visited", F.lit(False))).alias("visited"))
+
+
 def unvisited(links: DataFrame) -> DataFrame:
     """Links not fetched yet; an unknown flag counts as not fetched."""
     return links.where(~F.coalesce("visited", F.lit(False)))
