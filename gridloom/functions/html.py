@@ -12,6 +12,10 @@ from gridloom.functions.text import strip_tags
 TEAM_SECTIONS = (("championship-seasons", True, 2), ("non-championship-races", True, 4), ("teams", False, 0))
 STATS = ("starts", "wins", "poles", "podiums")
 
+#: marks of the pages: headings, the flag's picture, rows; fixed values
+_HERO, _H1 = r'(?s)<h1[^>]*class="[^"]*hero__title[^"]*"[^>]*>(.*?)</h1>', r"(?s)<h1[^>]*>(.*?)</h1>"
+_FLAG = r'(?s)<div[^>]*class="[^"]*database-data__content[^"]*database-data__icon[^"]*"[^>]*>.*?<img[^>]*alt="([^"]+)"[^>]*>'
+_MARKED_ROW, _ROW = r'(?s)<tr[^>]*class="database-table__row"[^>]*>(.*?)</tr>', r"(?s)<tr[^>]*>(.*?)</tr>"
 #: marks of the pages' labelled values; fixed values
 _HEAD = r'<div[^>]*class="[^"]*database-data__head[^"]*"[^>]*>'
 _CONTENT = r'</div>\s*<div[^>]*class="[^"]*database-data__content[^"]*"[^>]*>(.*?)</div>'
@@ -24,8 +28,7 @@ def _one(html: Column, pattern: str) -> Column:
 def page_title(html: Column | str) -> Column:
     """Text of the hero heading, else of the first heading, else ''."""
     h = as_col(html)
-    hero, plain = r'(?s)<h1[^>]*class="[^"]*hero__title[^"]*"[^>]*>(.*?)</h1>', r"(?s)<h1[^>]*>(.*?)</h1>"
-    return F.coalesce(strip_tags(F.when(h.rlike(hero), _one(h, hero)).otherwise(_one(h, plain))), F.lit(""))
+    return F.coalesce(strip_tags(F.when(h.rlike(_HERO), _one(h, _HERO)).otherwise(_one(h, _H1))), F.lit(""))
 
 
 def born(html: Column | str) -> Column:
@@ -36,7 +39,7 @@ def born(html: Column | str) -> Column:
 
 def nationality(html: Column | str) -> Column:
     """Alternative text of the flag image; entities stay as they are."""
-    return F.coalesce(F.trim(_one(as_col(html), r'(?s)<div[^>]*class="[^"]*database-data__content[^"]*database-data__icon[^"]*"[^>]*>.*?<img[^>]*alt="([^"]+)"[^>]*>')), F.lit(""))
+    return F.coalesce(F.trim(_one(as_col(html), _FLAG)), F.lit(""))
 
 
 def stat(html: Column | str, name: str) -> Column:
@@ -52,8 +55,7 @@ def section(html: Column | str, section_id: str) -> Column:
 
 def section_teams(html: Column | str, section_id: str, marked: bool, cell: int) -> Column:
     """Distinct link texts of a section's rows, in order."""
-    row = r'(?s)<tr[^>]*class="database-table__row"[^>]*>(.*?)</tr>' if marked else r"(?s)<tr[^>]*>(.*?)</tr>"
-    rows = F.regexp_extract_all(section(html, section_id), F.lit(row), F.lit(1))
+    rows = F.regexp_extract_all(section(html, section_id), F.lit(_MARKED_ROW if marked else _ROW), F.lit(1))
     if cell:
         rows = F.transform(rows, lambda r: F.try_element_at(F.regexp_extract_all(r, F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1)), F.lit(cell)))
     else:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import re
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import html as H
 from gridloom.operators import frontier
 
+#: columns of an extracted entity; fixed values
 ENTITY_COLUMNS = ("driver_id", "driver_name", "birth_date", "nationality", "teams", "starts", "wins", "poles", "podiums")
 ENTITY_SCHEMA = ", ".join(f"{c} string" for c in ENTITY_COLUMNS)
 
@@ -49,6 +53,21 @@ def entities(pages: DataFrame) -> DataFrame:
     )
 
 
+def sorted_out(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pages that hold an entity, and (page_name, reason) of those that do not: unread, empty, or without a heading."""
+    h = F.col("html")
+    reason = F.when(h.isNull(), "unread").when(F.trim(h) == "", "empty").when(H.page_title(h) == "", "no heading")
+    marked = pages.withColumn("reason", reason)
+    return marked.where("reason is null").drop("reason"), marked.where("reason is not null").select("page_name", "reason")
+
+
+def page_counters(pages: DataFrame) -> DataFrame:
+    """One row (files, saved, rejected) in one pass."""
+    good, bad = sorted_out(pages)
+    both = good.select(F.lit(1).alias("ok")).unionByName(bad.select(F.lit(0).alias("ok")))
+    return both.agg(F.count("*").alias("files"), F.coalesce(F.sum("ok"), F.lit(0)).alias("saved"), F.count_if(F.col("ok") == 0).alias("rejected"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
@@ -60,12 +79,12 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def read_wiki_xml(spark: SparkSession, path: str) -> DataFrame:
-    """(title, text) of the pages of an encyclopedia dump."""
-    schema = "title string, revision struct<text:struct<_VALUE:string>>"
-    plain = "title string, revision struct<text:string>"
-    with_attributes = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path).select("title", F.col("revision.text._VALUE").alias("text"))
-    bare = spark.read.format("xml").option("rowTag", "page").schema(plain).load(path).select("title", F.col("revision.text").alias("text"))
-    return with_attributes if with_attributes.where("text is not null").limit(1).count() else bare
+    """(title, text) of the pages of an encyclopedia dump; each text with or without attributes."""
+    page = spark.read.format("xml").option("rowTag", "page").option("inferSchema", False).option("singleVariantColumn", "page").load(path)
+    get = lambda at: F.try_variant_get("page", at, "string")
+    bare = F.when(F.schema_of_variant(F.try_variant_get("page", "$.revision.text", "variant")) == "STRING", get("$.revision.text"))
+    title = F.coalesce(get("$.title._VALUE"), get("$.title"))
+    return page.select(title.alias("title"), F.coalesce(get("$.revision.text._VALUE"), bare).alias("text"))
 
 
 def http_get(url: str, timeout: float = 20.0) -> str | None:
@@ -77,8 +96,29 @@ def http_get(url: str, timeout: float = 20.0) -> str | None:
         return None
 
 
-def fetch(links: DataFrame, get: Callable[[str], str | None] = http_get, pause: float = 1.5) -> DataFrame:
-    """(url, page_name, html, ok) of every link, fetched where the partitions are; failures stay unvisited."""
+def listing_pages(first: str, get: Callable[[str], str | None] = http_get, following: str = r'<a[^>]*rel="next"[^>]*href="([^"]+)"', most: int | None = None) -> Iterator[tuple[int, str]]:
+    """(number, html) of a listing and the pages it leads to, one after the other, as each names the next.
+
+    Ends where a page cannot be read, names no further one, or names one that was read.
+    """
+    url, seen = first, set()
+    while url and url not in seen and (most is None or len(seen) < most):
+        seen.add(url)
+        page = get(url)
+        if page is None:
+            return
+        yield len(seen), page
+        found = re.search(following, page)
+        url = urllib.parse.urljoin(url, html.unescape(found[1])) if found else None
+
+
+def fetch(links: DataFrame, get: Callable[[str], str | None] = http_get, pause: float = 1.5, lanes: int = 8, tries: int = 1) -> DataFrame:
+    """(url, page_name, html, ok) of every link, fetched where the partitions are; failures stay unvisited.
+
+    At most ``lanes`` partitions fetch, and each waits ``lanes * pause``
+    between two requests, so all together send one in ``pause`` seconds
+    however large the cluster is.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
@@ -86,8 +126,14 @@ def fetch(links: DataFrame, get: Callable[[str], str | None] = http_get, pause:
         for b in batches:
             got = []
             for u in b["url"]:
-                got.append(get(u))
-                time.sleep(pause)
+                page = None
+                for _ in range(tries):
+                    page = get(u)
+                    time.sleep(lanes * pause)
+                    if page is not None:
+                        break
+                got.append(page)
             yield pd.DataFrame({"url": b["url"], "page_name": b["page_name"], "html": got, "ok": [bool(x) for x in got]})
 
+    links = links.repartition(lanes, "url")
     return links.select("url", H.file_name("url").alias("page_name")).mapInPandas(run, "url string, page_name string, html string, ok boolean")
