@@ -4,7 +4,7 @@
 with the term's count and the field's length, ``term_stats`` and
 ``field_stats`` the counts that scoring needs.  ``save`` writes them as
 parquet, postings partitioned by field and sorted by term, so a query reads
-only the row groups of its words.
+only the row groups of its words.  ``register_views`` names the tables for SQL.
 """
 
 from __future__ import annotations
@@ -101,11 +101,22 @@ class Index:
     def save(self, folder: str) -> None:
         """Overwrite the tables; building twice leaves one copy of every document."""
         self.doc.write.mode("overwrite").parquet(f"{folder}/doc")
-        self.posting.repartition("field", F.substring("term", 1, 2)).sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{folder}/posting")
+        # ranges that end inside a term where need be: no word makes a large partition
+        self.posting.repartitionByRange("field", "term", "doc_key").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{folder}/posting")
         post = self.posting.sparkSession.read.parquet(f"{folder}/posting")
         term_stats(post).sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{folder}/term_stats")
         field_stats(post).coalesce(1).write.mode("overwrite").parquet(f"{folder}/field_stats")
 
+    def register_views(self, prefix: str = "index_") -> None:
+        """The tables as temporary views ``<prefix>doc``, ``posting``, ``term_stats`` and ``field_stats``."""
+        for name in ("doc", "posting", "term_stats", "field_stats"):
+            getattr(self, name).createOrReplaceTempView(prefix + name)
+
+    def counters(self) -> DataFrame:
+        """One row: documents, postings and distinct terms of the index."""
+        terms = self.term_stats.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("postings"), F.countDistinct("term").alias("terms"))
+        return self.doc.agg(F.count("*").alias("documents")).crossJoin(terms)  # one row each
+
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Index:
         return cls(*(spark.read.parquet(f"{folder}/{t}") for t in ("doc", "posting", "term_stats", "field_stats")))

@@ -6,6 +6,7 @@ holds run over literal rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,8 @@ from gridloom.operators.index import Index, documents, field_stats, postings, te
 from gridloom.operators.multivalue import split_values
 from gridloom.plans import search as S
 from gridloom.plans.query import BOOSTS, parse
-from gridloom.sources.tables import table
+from gridloom.sources import readers
+from gridloom.sources.tables import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -242,34 +244,6 @@ DRIVER_PAGE = ('<h1 class="hero__title">', "driver_name", "</h1>" + _LABEL.forma
 TEAM_PAGE = ('<section class="s" id="teams"><table><tr><th>Teams</th></tr><tr><td><a>', "teams", "</a></td></tr></table></section>")
 
 
-def built_pages(spark: SparkSession, sf: str, name: str, key: str, parts: tuple[str, ...]) -> DataFrame:
-    rows = table(spark, sf, name).select(key, *parts[1::2]).distinct()
-    return rows.select(F.col(key).alias("page_id"), F.concat(*(F.coalesce(F.col(x), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts))).alias("html"))
-
-
-def _built_sql(name: str, key: str, parts: tuple[str, ...]) -> str:
-    html = " || ".join(f"coalesce({x}, '')" if i % 2 else f"'{x}'" for i, x in enumerate(parts))
-    return f"pages as (select {key} as page_id, {html} as html from (select distinct {', '.join((key, *parts[1::2]))} from {name}))"
-
-
-@query(ORACLE["html_fields"].replace(_PAGE_VALUES, _built_sql("drivers", "driver_id", DRIVER_PAGE)))
-def driver_page_fields(spark: SparkSession, sf: str) -> DataFrame:
-    html = built_pages(spark, sf, "drivers", "driver_id", DRIVER_PAGE)
-    return html.select("page_id", H.page_title("html").alias("name"), H.born("html").alias("birth_date"), H.nationality("html").alias("nationality"), *(H.stat("html", s).alias(s) for s in H.STATS))
-
-
-@query(ORACLE["section_teams"].replace(_PAGE_VALUES, _built_sql("drivers_teams", "rec_id", TEAM_PAGE)))
-def driver_page_teams(spark: SparkSession, sf: str) -> DataFrame:
-    return built_pages(spark, sf, "drivers_teams", "rec_id", TEAM_PAGE).select("page_id", F.array_join(H.teams("html"), "; ").alias("teams"))
-
-
-_LABEL = '<div class="database-data__head">{}</div> <div class="database-data__content">'
-#: pages built from all records: text and column in turn, a text last; nulls stand for nothing
-DRIVER_PAGE = ('<h1 class="hero__title">', "driver_name", "</h1>" + _LABEL.format("Born"), "birth_date", '</div><div class="database-data__content database-data__icon"><img src="f.png" alt="', "nationality", '"></div>' + _LABEL.format("Starts"), "starts",
-               "</div>" + _LABEL.format("Wins"), "wins", "</div>" + _LABEL.format("Poles"), "poles", "</div>" + _LABEL.format("Podiums"), "podiums", "</div>")
-TEAM_PAGE = ('<section class="s" id="teams"><table><tr><th>Teams</th></tr><tr><td><a>', "teams", "</a></td></tr></table></section>")
-
-
 def built_pages(spark: SparkSession, sf: str, name: str, key: str, parts: tuple[str, ...]) -> DataFrame:
     rows = table(spark, sf, name).select(key, *parts[1::2]).distinct()
     return rows.select(F.col(key).alias("page_id"), F.concat(*(F.coalesce(F.col(x), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts))).alias("html"))
@@ -335,10 +309,21 @@ def frontier_unvisited(spark: SparkSession, sf: str) -> DataFrame:
     return frontier.unvisited(links(spark, sf)).select("link_id", "url").distinct()
 
 
-@query(r"select distinct link_id, url from (select link_id, url, replace(regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/]*', ''), '^/+|/+$', '', 'g'), '/', '_') || '.html' as p from frontier where not coalesce(visited, false) and url not similar to '.*[?#].*') where p not in (select driver_id from drivers where driver_id is not null)")
+@query(
+    r"select distinct link_id, url from (select link_id, url, case when p = '' then 'index' else replace(p, '/', '_') end || '.html' as page from (select link_id, url, "
+    r"regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/]*', ''), '^/+|/+$', '', 'g') as p from frontier where not coalesce(visited, false))) "
+    r"where page is null or page not in (select driver_id from drivers where driver_id is not null)"
+)
 def frontier_to_fetch(spark: SparkSession, sf: str) -> DataFrame:
-    plain = links(spark, sf).where(~F.col("url").rlike("[?#]"))
-    return frontier.to_fetch(plain, table(spark, sf, "drivers"), "driver_id").select("link_id", "url").distinct()
+    return frontier.to_fetch(links(spark, sf), table(spark, sf, "drivers"), "driver_id").select("link_id", "url").distinct()
+
+
+@query("select url, bool_or(coalesce(visited, false)) as visited from frontier where url is not null group by url")
+def frontier_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Every link once, visited where any row says so."""
+    f = table(spark, sf, "frontier")
+    late = F.coalesce(F.col("found_at") >= F.to_timestamp(F.lit(_CUT)), F.lit(False))
+    return frontier.merge_flags(f.where(~late), f.where(late))
 
 
 @query("select count(*) as links, count(distinct url) as urls, count_if(coalesce(visited, false))::bigint as visited, count_if(not coalesce(visited, false))::bigint as open from frontier")
@@ -378,21 +363,6 @@ def join_and_filter(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.join_by_name(a, table(spark, sf, "spark").where(W.about_racing("text")).select("title")).select("driver_id", "driver_name", "title")
 
 
-@query()
-def infobox_fields(spark: SparkSession, sf: str) -> DataFrame:
-    """Data boxes and their fields; balanced braces have no plain SQL, tests hold them against brute force."""
-    rows = table(spark, sf, "spark").select("page_id", "text").dropDuplicates(["page_id"]).withColumn("box", W.infobox("text")).where("box <> ''")
-    f = rows.withColumn("f", W.fields("box"))
-    return f.select("page_id", F.length("box").alias("box_chars"), *(W.field(F.col("f"), a).alias(n) for n, a in W.FIELD_ALIASES.items()))
-
-
-@query()
-def enriched(spark: SparkSession, sf: str) -> DataFrame:
-    """Drivers with the cleaned fields and the biography of the racing article of their name."""
-    d = table(spark, sf, "drivers").select("driver_id", "driver_name", "birth_date", "nationality").dropDuplicates(["driver_id"])
-    return enrich.enrich(d, table(spark, sf, "spark").dropDuplicates(["page_id"]))
-
-
 def _clean_sql(x: str) -> str:
     for pattern, into in ((r"\[\[([^|\]]+)\|([^\]]+)\]\]", r"\2"), (r"\[\[([^\]]+)\]\]", r"\1"), (r"\{\{[^{}]+\}\}", ""), ("(?s)<.*?>", "")):
         x = f"regexp_replace({x}, '{pattern}', '{into}', 'g')"
@@ -425,10 +395,15 @@ def _ascii_sql(x: str) -> str:
     return x
 
 
+#: (page_id, t): the articles' texts with plain letters, templates removed until none is left
+_BARE = (
+    f"bare0 as (select page_id, {_ascii_sql('text')} as t from (select distinct page_id, text from spark)), "
+    f"bare1 as (select page_id, t from bare0 union all select page_id, regexp_replace(t, '{W.TEMPLATE}', '', 'g') from bare1 where regexp_matches(t, '{W.TEMPLATE}')), "
+    f"bare as (select * from bare1 where t is null or not regexp_matches(t, '{W.TEMPLATE}'))"
+)
+
+
 def _bio_sql(x: str) -> str:
-    x = _ascii_sql(x)
-    for _ in range(W.TEMPLATE_DEPTH):
-        x = rf"regexp_replace({x}, '\{{\{{[^{{}}]*\}}\}}', '', 'g')"
     for pattern, into in W.BIOGRAPHY_STEPS:
         x = "regexp_replace({}, '{}', '{}', 'g')".format(x, pattern.replace("'", "''"), into.replace("$", "\\"))
     return x
@@ -437,11 +412,49 @@ def _bio_sql(x: str) -> str:
 _WORDS_SQL = "array_to_string(list_slice(list_filter(regexp_extract_all({x}, '" + W.WORD.replace("'", "''") + "'), lambda w: len(w) >= 2), 1, 1000), ' ')"
 
 
-@query(f"select page_id, coalesce({_WORDS_SQL.format(x=_bio_sql('text'))}, '') as first_1000_words from (select distinct page_id, text from spark)")
+@query(f"with recursive {_BARE} select page_id, coalesce({_WORDS_SQL.format(x=_bio_sql('t'))}, '') as first_1000_words from bare")
 def biography(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "spark").select("page_id", "text").distinct().select("page_id", W.biography("text").alias("first_1000_words"))
 
 
+#: (page_id, box): the braces are counted by a running sum over the pieces between them; (page_id, k, v): the last line of each name
+_BOXES = (
+    r"rest as (select page_id, regexp_replace(regexp_extract(text, '(?is)\{\{Infobox.*$'), '(?s)\n={2,}[^\n]*?={2,}.*$', '') as t from (select distinct page_id, text from spark)), "
+    r"piece as (select page_id, unnest(p) as x, generate_subscripts(p, 1) as i from (select page_id, regexp_extract_all(t, '(?s)\{\{|\}\}|[^{}]+|[{}]') as p from rest)), "
+    "deep as (select *, sum(case x when '{{' then 1 when '}}' then -1 else 0 end) over (partition by page_id order by i) as d from piece), "
+    "stop as (select page_id, min(i) as n from deep where d = 0 group by page_id), "
+    "box as (select page_id, string_agg(x, '' order by i) as box from deep left join stop using (page_id) where n is null or i <= n group by page_id), "
+    f"line as (select page_id, unnest(regexp_extract_all(box, '{W.BOX_LINE}', 1)) as k, unnest(regexp_extract_all(box, '{W.BOX_LINE}', 2)) as v, generate_subscripts(regexp_extract_all(box, '{W.BOX_LINE}', 1), 1) as i from box), "
+    "named as (select page_id, lower(trim(k)) as k, arg_max(v, i) as v from line group by all)"
+)
+_RAW_FIELDS = ", ".join("coalesce(" + ", ".join(f"max(v) filter (k = '{a}')" for a in dict.fromkeys(x.lower() for x in aliases)) + f", '') as {n}" for n, aliases in W.FIELD_ALIASES.items())
+
+
+@query(f"with {_BOXES} select page_id, length(any_value(box)) as box_chars, {_RAW_FIELDS} from box left join named using (page_id) group by page_id")
+def infobox_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Data boxes and their fields."""
+    rows = table(spark, sf, "spark").select("page_id", "text").dropDuplicates(["page_id"]).withColumn("box", F.explode(F.array(W.infobox("text")))).where("box <> ''")
+    f = rows.withColumn("f", F.explode(F.array(W.fields("box"))))  # once, not once for each column
+    return f.select("page_id", F.length("box").alias("box_chars"), *(W.field(F.col("f"), a).alias(n) for n, a in W.FIELD_ALIASES.items()))
+
+
+def _cleaned_field(name: str) -> str:
+    if name == "birth_date_wiki":
+        return f"coalesce(case when regexp_matches(birth_date_wiki, '{_DATE}') and try_strptime({_ISO}, '%Y-%m-%d') is not null then {_ISO} end, {_clean_sql(name)}) as {name}"
+    return f"nullif(regexp_extract({_clean_sql(name)}, '([0-9]+)', 1), '') as {name}" if name in W.NUMBER_FIELDS else f"{_clean_sql(name)} as {name}"
+
+
+@query(
+    f"with recursive {_BOXES}, {_BARE}, raw as (select p.page_id, title, {_RAW_FIELDS} from (select distinct page_id, title, text from spark) p left join named using (page_id) where {_ABOUT} group by p.page_id, title), "
+    f"tidy as (select page_id, title, {', '.join(map(_cleaned_field, W.FIELD_ALIASES))} from raw), bio as (select page_id, coalesce({_WORDS_SQL.format(x=_bio_sql('t'))}, '') as first_1000_words from bare) "
+    f"select d.*, tidy.* exclude (page_id), first_1000_words from (select distinct driver_id, driver_name, birth_date, nationality from drivers) d join tidy on {_NORM.format(x='driver_name')} = {_NORM.format(x='title')} join bio using (page_id)"
+)
+def enriched(spark: SparkSession, sf: str) -> DataFrame:
+    """Drivers with the cleaned fields and the biography of the racing article of their name."""
+    d = table(spark, sf, "drivers").select("driver_id", "driver_name", "birth_date", "nationality").dropDuplicates(["driver_id"])
+    return enrich.enrich(d, table(spark, sf, "spark").dropDuplicates(["page_id"]))
+
+
 @query(f"select doc_id, {_WORDS_SQL.format(x=_ascii_sql('text'))} as words from documents")
 def first_words(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", W.first_words("text").alias("words"))
@@ -592,11 +605,76 @@ def search_total(spark: SparkSession, sf: str) -> DataFrame:
     return S.total_hits(Index.of(final(spark, sf)), parse("Belgian racing", fuzzy=False))
 
 
-@query()
+_MISSPELT = ("sebatsian", "gearbx", "brittish")
+_WANT = ", ".join(f"({i}, '{f}', '{w}', {b}, {1 if len(w) < 5 else 2})" for i, w in enumerate(_MISSPELT) for f, b in BOOSTS.items() if f in _FIELD_SQL)
+
+
+@query(
+    # letters beyond ASCII become one byte each, as this distance counts bytes
+    f"with {_POST}, {_FSTAT}, want(w, field, word, boost, most) as (values {_WANT}), flat as (select *, regexp_replace(term, '[^\\x00-\\x7F]', '_', 'g') as t from tstat), "
+    "near as (select w, flat.field, term, boost, least(length(t), length(word)) as l, damerau_levenshtein(t, word) as d from flat join want on flat.field = want.field where abs(length(t) - length(word)) <= most and damerau_levenshtein(t, word) <= most), "
+    "best as (select *, row_number() over (partition by w, field order by d, term) as n from near where d < l) select w, field, term, round(boost * (1 - d / l::double), 6) as factor from best where n <= 50"
+)
 def fuzzy_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms within the allowed edits of misspelt words, over the whole vocabulary; characters count, so SQL that counts bytes differs."""
+    """Terms within the allowed edits of misspelt words, over the whole vocabulary."""
     index = Index.of(final(spark, sf))
-    return S.word_terms(index, parse("Sebatsian Gearbx Brittish", fuzzy=True)).select("w", "field", "term", F.round("factor", 6).alias("factor"))
+    return S.word_terms(index, parse(" ".join(_MISSPELT), fuzzy=True)).select("w", "field", "term", F.round("factor", 6).alias("factor"))
+
+
+def saved(spark: SparkSession, sf: str) -> Index:
+    """The index of the table, written to the shared folder and read back."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    Index.of(final(spark, sf)).save(folder)
+    return Index.load(spark, folder)
+
+
+def _saved_query(text: str, fuzzy: bool) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return S.search(saved(spark, sf), parse(text, fuzzy=fuzzy)).select("rank", "doc_key", F.round("score", 4).alias("score"))
+
+    return run
+
+
+query(ORACLE["search_exact_or"], "saved_search_exact")(_saved_query("Belgian racing drivers", False))
+query(ORACLE["search_fuzzy"], "saved_search_fuzzy")(_saved_query("Brittish Sebatsian", True))
+
+
+def _field_words(words: list[tuple[str, str, float]]) -> str:
+    """SQL of a search for words in one field each, with their factors."""
+    pairs = ", ".join(f"({i}, '{f}', '{w}', {b})" for i, (f, w, b) in enumerate(words))
+    return (
+        f"with {_POST}, {_FSTAT}, want(w, field, word, factor) as (values {pairs}), "
+        "hit as (select driver_id, sum(factor * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as s from (select factor, t.field, term, df from want join tstat t on t.field = want.field and term = word) join posting using (field, term) join fstat using (field) group by all), "
+        "r as (select driver_id as doc_key, round(s, 4) as score, row_number() over (order by round(s, 4) desc, driver_id) as rank from hit) select rank::int as rank, doc_key, score from r where rank <= 5"
+    )
+
+
+@query(_field_words([("nationality_wiki", "british", sum(BOOSTS.values())), ("biography", "kart", 2 * sum(BOOSTS.values()))]))
+def search_field_grammar(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of the exact grammar: a field, a factor, a sign for required, one for excluded alone."""
+    found = S.search(Index.of(final(spark, sf)), parse("+nationality_wiki:British biography:kart^2 -italian", fuzzy=False))
+    return found.select("rank", "doc_key", F.round("score", 4).alias("score"))
+
+
+@query(f"with {_POST}, {_FSTAT} select field, count(*) as terms, sum(df)::bigint as postings, max(df) as most from tstat group by field")
+def index_views(spark: SparkSession, sf: str) -> DataFrame:
+    """The index asked in SQL, through its views."""
+    Index.of(final(spark, sf)).register_views("index_views_")
+    return spark.sql("select field, count(*) as terms, sum(df) as postings, max(df) as most from index_views_term_stats group by field")
+
+
+@query(f"with {_POST}, {_FSTAT} select (select count(*) from gg) as documents, (select count(*) from posting) as postings, (select count(distinct term) from tstat) as terms")
+def index_counters(spark: SparkSession, sf: str) -> DataFrame:
+    return Index.of(final(spark, sf)).counters()
+
+
+_PAGES_SQL = _built_sql("drivers", "driver_id", DRIVER_PAGE)
+
+
+@query(f"with {_PAGES_SQL}, n as (select *, trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')) as title from pages) select count(*) as files, count_if(title <> '')::bigint as saved, count_if(title = '')::bigint as rejected from n")
+def page_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """How many built pages hold an entity and how many are put aside."""
+    return readers.page_counters(built_pages(spark, sf, "drivers", "driver_id", DRIVER_PAGE).withColumnRenamed("page_id", "page_name"))
 
 
 def _shown(default: str, *columns: str) -> str:
