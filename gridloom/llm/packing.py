@@ -1,13 +1,15 @@
 """Packing items into containers of a fixed capacity: a grouping genetic algorithm on islands.
 
-A solution is a set of containers.  Crossover takes whole well-filled
-containers of one parent into a copy of the other, drops the containers that
-would hold an item twice, and puts the displaced items back by best fit.  The
-fitness is the mean squared fill.  Items are cut into shards of about
+A solution is a set of containers; the first ones take the items in random
+order.  Crossover takes whole well-filled containers of one parent into a copy
+of the other, drops the containers that would hold an item twice, and puts the
+displaced items back by best fit, largest first.  The fitness is the number of
+containers, then the mean squared fill.  Items are cut into shards of about
 ``SHARD`` items; every shard evolves on ``ISLANDS`` islands, which send their
-best solution to the next island between the rounds.  An island stops as soon
-as it reaches the least number of containers that the sizes allow.  Containers
-left badly filled are opened and packed again across the shards.
+best solution to the next island between the rounds.  An island stops a few
+generations after it reaches the least number of containers that the sizes
+allow.  Containers left badly filled are opened and packed again across the
+shards.
 
 Defined results: items larger than the capacity fill whole containers and
 leave one part for packing, no other item is split; items of size 0 (null and
@@ -21,7 +23,7 @@ from __future__ import annotations
 import bisect
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -33,6 +35,7 @@ from gridloom.sources.tables import checkpoint, spread
 CAPACITY = 2048
 SHARD = 1000  # items of a shard on average
 ISLANDS, ROUNDS, GENERATIONS, POPULATION = 3, 2, 12, 6
+GATHER = 2  # generations after the least number is reached, which gather the room left in few containers
 WELL_FILLED = 0.97  # containers below are opened for the last pass
 
 
@@ -48,10 +51,10 @@ def token_sizes(df: DataFrame, key: str, field: str, folder: str = TOKENIZER_DIR
     return rows.select("id", count("text").alias("size"))
 
 
-def best_fit(items: list[int], sizes: list[int], bins: list[list[int]], room: list[int], capacity: int) -> None:
-    """Add items to the fullest containers that hold them, largest item first; opens new ones."""
+def best_fit(items: Iterable[int], sizes: list[int], bins: list[list[int]], room: list[int], capacity: int) -> None:
+    """Add items in their order to the fullest containers that hold them; opens new ones."""
     order = sorted((r, b) for b, r in enumerate(room))
-    for i in sorted(items, key=lambda i: (-sizes[i], i)):
+    for i in items:
         at = bisect.bisect_left(order, (sizes[i], -1))
         if at == len(order):
             bins.append([i])
@@ -64,6 +67,11 @@ def best_fit(items: list[int], sizes: list[int], bins: list[list[int]], room: li
             bisect.insort(order, (room[b], b))
 
 
+def decreasing(items: Iterable[int], sizes: list[int]) -> list[int]:
+    """Largest item first; ties by place."""
+    return sorted(items, key=lambda i: (-sizes[i], i))
+
+
 def fitness(room: list[int], capacity: int) -> float:
     return sum(((capacity - r) / capacity) ** 2 for r in room) / len(room) if room else 1.0
 
@@ -94,51 +102,57 @@ def crossover(a, b, sizes: list[int], capacity: int, rng: random.Random):
     if len(bins) > 1:
         loose += bins.pop(worst)
         room.pop(worst)
-    best_fit(loose, sizes, bins, room, capacity)
+    best_fit(decreasing(loose, sizes), sizes, bins, room, capacity)
     return bins, room
 
 
-def evolve(sizes: list[int], capacity: int, guests: list[list[int]], seed: int, generations: int = GENERATIONS, population: int = POPULATION) -> list[int]:
-    """Container of each item after one round on one island; ``guests`` are solutions that came from elsewhere."""
+def search(sizes: list[int], capacity: int, guests: list[list[int]], seed: int, generations: int = GENERATIONS, population: int = POPULATION) -> tuple[list[int], int]:
+    """Container of each item after one round on one island, and the number of crossovers; ``guests`` are solutions that came from elsewhere.
+
+    The first people take the items in random order.  Where half the
+    generations do not reach the bound, best-fit decreasing joins them, so no
+    island ends worse than that alone.
+    """
     n = len(sizes)
     if n == 0:
-        return []
+        return [], 0
     rng = random.Random(seed)
     least = max(1, math.ceil(sum(sizes) / capacity))
-    people = [_of_assignment(g, sizes, capacity) for g in guests]
-    while len(people) < population:
+    rank = lambda p: (len(p[0]), -fitness(p[1], capacity))
+    people = sorted((_of_assignment(g, sizes, capacity) for g in guests), key=rank)
+
+    def settle(items: list[int]) -> None:
         bins: list[list[int]] = []
         room: list[int] = []
-        first = rng.sample(range(n), n // 3) if people else []
-        for i in first:  # a random start for variety, then best fit
-            for b in range(max(0, len(bins) - 3), len(bins)):
-                if room[b] >= sizes[i]:
-                    bins[b].append(i)
-                    room[b] -= sizes[i]
-                    break
-            else:
-                bins.append([i])
-                room.append(capacity - sizes[i])
-        chosen = set(first)
-        best_fit([i for i in range(n) if i not in chosen], sizes, bins, room, capacity)
+        best_fit(items, sizes, bins, room, capacity)
         people.append((bins, room))
-        if len(bins) <= least:
-            break
-    rank = lambda p: (len(p[0]), -fitness(p[1], capacity))
-    people.sort(key=rank)
-    for _ in range(generations):
-        if len(people[0][0]) <= least or len(people) < 2:
-            break
-        a, b = people[rng.randrange(max(1, len(people) // 2))], people[rng.randrange(len(people))]
-        people.append(crossover(a, b, sizes, capacity, rng))
-        people.append(crossover(b, a, sizes, capacity, rng))
+
+    while len(people) < population:
+        settle(rng.sample(range(n), n))
+    crossings = gathered = 0
+    for turn in range(generations):
         people.sort(key=rank)
         del people[population:]
+        if len(people[0][0]) <= least:
+            if gathered == GATHER:
+                break
+            gathered += 1
+        elif turn == generations // 2:
+            settle(decreasing(range(n), sizes))
+        a, b = people[rng.randrange(max(1, len(people) // 2))], people[rng.randrange(len(people))]
+        people += [crossover(a, b, sizes, capacity, rng), crossover(b, a, sizes, capacity, rng)]
+        crossings += 2
+    people.sort(key=rank)
     out = [0] * n
     for k, content in enumerate(people[0][0]):
         for i in content:
             out[i] = k
-    return out
+    return out, crossings
+
+
+def evolve(sizes: list[int], capacity: int, guests: list[list[int]], seed: int, generations: int = GENERATIONS, population: int = POPULATION) -> list[int]:
+    """The containers of :func:`search`."""
+    return search(sizes, capacity, guests, seed, generations, population)[0]
 
 
 def _evolved(state: DataFrame, capacity: int, turn: int) -> DataFrame:
@@ -152,7 +166,8 @@ def _evolved(state: DataFrame, capacity: int, turn: int) -> DataFrame:
                 own.append(evolve(list(map(int, sizes)), capacity, guests, hash((int(shard), int(island), turn)) & 0xFFFFFFFF))
             yield pd.DataFrame({"shard": b["shard"], "island": b["island"], "own": own})
 
-    return state.select("shard", "island", "sizes", "own", "guest").mapInPandas(run, "shard bigint, island int, own array<int>")
+    # small rows with much work each
+    return spread(state.select("shard", "island", "sizes", "own", "guest")).mapInPandas(run, "shard bigint, island int, own array<int>")
 
 
 def _pack_shards(items: DataFrame, capacity: int, islands: int, rounds: int) -> DataFrame:
