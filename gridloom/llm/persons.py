@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.editdist import osa
 from gridloom.functions.names import expand_given, fold, is_given
 from gridloom.llm.canonical import NameIndex, clean_nationality, nation_index, read_list
+from gridloom.sources.tables import checkpoint, spread
 
 BITS = 64
 RADIUS = 7  # bits; one slip changes 6 at most
@@ -127,31 +128,34 @@ def parse_date(text: str | None) -> tuple[int, int, int]:
 
 _INLINE = re.compile(r"<!--.*?-->|<ref\b[^<>]*/>|<ref\b.*?</ref>|</?[A-Za-z][^<>]*>|\\(?:emph|textbf|textit|textsc|underline)\{|\\href\{[^{}]*\}\{|\{\\(?:bf|it)\s|\{\{nowrap\|"
                      r"|\[\[[^\[\]|]*\||\[https?://\S+ |\]\([^()]*\)|'{2,}|[*~{}\[\]]{1,3}|(?<![\w])_{1,2}|_{1,2}(?![\w])", re.S)
-_BORN = re.compile(r"\bborn\b[^()]{0,200}?(?:\d{4})", re.S)
-_NATION = re.compile(r"\b(?:is|was) an? ((?:[A-Z][\w-]+\s?){1,3}?)\s*(?:racing|race|formula|rally|former)?\s*driver", re.S)
+_PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
+#: a stop ends a sentence after a word of three letters or more, and after a number unless a month follows
+_STOP = re.compile(rf"(?<=[a-z]{{3}})[.!?](?=\s)|(?<=\d)[.!?](?=\s+(?!(?i:{'|'.join(MONTHS)})\b)[A-Z])")
+_BORN = re.compile(r"\bborn\b[^()]*?(?:\d{4})")
+_NATION = re.compile(r"\b(?:is|was) an? ((?:[A-Z][\w-]+\s?){1,3}?)\s*(?:racing|race|formula|rally|former)?\s*driver")
 
 
 def facts(text: str | None) -> tuple[str, str]:
-    """(birth date, nationality) as the running text of an article states them; the whole text is searched."""
+    """(birth date, nationality) as the running text of an article states them; whole sentences of the whole text are searched."""
     if not text:
         return "", ""
-    at = text.find("born")
     born = nation = ""
-    while at >= 0:
-        window = html.unescape(_INLINE.sub("", text[at : at + 400])).replace("~", " ")
-        if m := _BORN.match(re.sub(r"\s+", " ", window)):
-            if parse_date(m[0])[0]:
+    for part in _PARAGRAPH.split(text):
+        dated, named = not born and "born" in part, not nation and "driver" in part
+        if not dated and not named:
+            continue
+        plain = re.sub(r"\s+", " ", html.unescape(_INLINE.sub("", part)).replace("~", " "))
+        if named and (m := _NATION.search(plain)):
+            nation = m[1].strip()
+        at = plain.find("born") if dated else -1
+        while at >= 0:
+            stop = _STOP.search(plain, at)
+            if (m := _BORN.match(plain, at, stop.start() if stop else len(plain))) and parse_date(m[0])[0]:
                 born = m[0]
                 break
-        at = text.find("born", at + 4)
-    at = text.find("driver")
-    while at >= 0:
-        window = html.unescape(_INLINE.sub("", text[max(0, at - 300) : at + 6])).replace("~", " ")
-        found = _NATION.findall(re.sub(r"\s+", " ", window))
-        if found:
-            nation = found[-1].strip()
+            at = plain.find("born", at + 4)
+        if born and nation:
             break
-        at = text.find("driver", at + 6)
     return born, nation
 
 
@@ -199,7 +203,7 @@ def confidence(score: float) -> float:
     return 1.0 / (1.0 + math.exp(-SLOPE * (score - MIDDLE)))
 
 
-FIELDS = "family string, given string, y int, m int, d int, nation bigint, sv bigint, gvs array<bigint>"
+FIELDS = "family string, given string, initials array<string>, y int, m int, d int, nation bigint, sv bigint, gvs array<bigint>"
 
 
 def _nation_id(index: NameIndex, entry: dict[str, int], *raws: str | None) -> int:
@@ -211,7 +215,7 @@ def _nation_id(index: NameIndex, entry: dict[str, int], *raws: str | None) -> in
 
 
 def _records(df: DataFrame, id_type: str, nations: DataFrame, article: bool) -> DataFrame:
-    """(id, family, given, date, nation, vector) of (id, name, date, nationality[, text]) rows."""
+    """(id, family, given, date, nation, vector) of (id, name, date, nationality[, text]) rows; ``initials`` is '?' where the given name is missing."""
     index, entry = nation_index(read_list(nations, "ref_id", "demonym", "country", "code"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,17 +236,13 @@ def _records(df: DataFrame, id_type: str, nations: DataFrame, article: bool) ->
                         when = own
                 if not when[0] and year:
                     when = (year, 0, 0)
-                out.append((i, family, given, *when, _nation_id(index, entry, nation, said), vector(family), sorted({vector(g) for g in expand_given(given)}) if len(given) > 1 else []))
-            yield pd.DataFrame(out, columns=["id", "family", "given", "y", "m", "d", "nation", "sv", "gvs"]).astype({"family": "object", "given": "object", "y": "int32", "m": "int32", "d": "int32", "nation": "int64", "sv": "int64"})
+                initials = sorted({x[0] for x in expand_given(given)}) if given else ["?"]
+                out.append((i, family, given, initials, *when, _nation_id(index, entry, nation, said), vector(family), sorted({vector(g) for g in expand_given(given)}) if len(given) > 1 else []))
+            yield pd.DataFrame(out, columns=["id", "family", "given", "initials", "y", "m", "d", "nation", "sv", "gvs"]).astype({"family": "object", "given": "object", "y": "int32", "m": "int32", "d": "int32", "nation": "int64", "sv": "int64"})
 
     return df.mapInPandas(run, f"id {id_type}, {FIELDS}")
 
 
-def _initials(rows: DataFrame) -> Column:
-    """First letters that the given name may stand for; '?' where it is missing."""
-    return F.pandas_udf(lambda s: s.map(lambda g: sorted({x[0] for x in expand_given(g)}) if g else ["?"]), "array<string>")("given")
-
-
 def _pieces(block: Column, radius: int = RADIUS, bits: Column | None = None) -> Column:
     """(block, piece number, piece) for each of the ``radius + 1`` pieces of the vector."""
     width = -(-BITS // (radius + 1))
@@ -282,19 +282,26 @@ def _keys(rows: DataFrame, side: str) -> DataFrame:
     every = F.filter(texts, lambda t: t.rlike("^[mn]i"))
     by_family = F.concat(hashed(whole, F.lit(WIDE), F.col("sv")), hashed(F.array_except(texts, every), F.lit(RADIUS), F.col("sv")), hashed(every, F.lit(BITS), F.col("sv")))
     by_given = F.flatten(F.transform("gvs", lambda g: hashed(F.when(dated, _pieces(F.concat(F.lit("g"), date), GIVEN, g)).otherwise(none), F.lit(GIVEN), g)))
-    rows = rows.withColumn("initials", _initials(rows))
     keyed = rows.select(F.col("id").alias(f"id_{side}"), F.inline(F.array_distinct(F.concat(by_family, by_given))))
     return keyed.withColumnRenamed("bits", f"bits_{side}")
 
 
+LEAST = 0.01  # the blocks lose no pair of this confidence or more for a clashing nation
+
+
 def match(left: DataFrame, right: DataFrame, nations: DataFrame, id_type: str = "string", least: float = 0.5) -> DataFrame:
-    """(id_a, id_b, confidence) of the pairs with a confidence of ``least`` or more.
+    """(id_a, id_b, confidence) of the pairs with a confidence of ``least`` or more, which is ``LEAST`` at least.
 
     ``left`` has id, name, date, nationality; ``right`` also text, searched
-    for the date and nationality that its data fields lack.
+    for the date and nationality that its data fields lack.  The records read
+    from both are short and are kept, as keys and scores need them.
     """
+    if least < LEAST:
+        raise ValueError(f"the blocks find the pairs of confidence {LEAST} or more")
+    spark = left.sparkSession
     a = _records(left.select("id", "name", "date", "nationality", F.lit(None).cast("string").alias("text")), id_type, nations, article=False)
-    b = _records(right.select("id", "name", "date", "nationality", "text"), "bigint", nations, article=True)
+    b = _records(spread(right.select("id", "name", "date", "nationality", "text")), "bigint", nations, article=True)
+    a, b = checkpoint(a, spark), checkpoint(b, spark)
     close = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= F.col("far")
     cand = _keys(a, "a").join(_keys(b, "b"), ["key", "far"]).where(close).select("id_a", "id_b").distinct()
     cols = ("family", "given", "y", "m", "d", "nation", "sv")

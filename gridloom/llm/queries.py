@@ -10,19 +10,23 @@ from gridloom.llm import canonical, distinctive, encode, lang, markup, packing,
 from gridloom.sources.tables import table
 
 
-def p1_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Driver pages and the articles about the same person, each with a confidence."""
+def _p1(spark: SparkSession, sf: str, least: float) -> DataFrame:
     pages = table(spark, sf, "drivers").dropDuplicates(["driver_id"])
     a = pages.select(F.col("driver_id").alias("id"), F.col("driver_name").alias("name"), F.col("birth_date").alias("date"), "nationality")
     articles = table(spark, sf, "spark").dropDuplicates(["page_id"])
     b = articles.select(F.col("page_id").alias("id"), F.col("title").alias("name"), F.col("birth_date_wiki").alias("date"), F.col("nationality_wiki").alias("nationality"), "text")
-    found = persons.match(a, b, table(spark, sf, "nationality_ref"))
+    found = persons.match(a, b, table(spark, sf, "nationality_ref"), least=least)
     return found.select(F.col("id_a").alias("driver_id"), F.col("id_b").alias("page_id"), F.round("confidence", 4).alias("confidence"))
 
 
+def p1_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Driver pages and the articles that may be about the same person, each with a confidence, the doubtful ones too."""
+    return _p1(spark, sf, persons.LEAST)
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """The pairs with a confidence of one half or more."""
-    return p1_matches(spark, sf).where("confidence >= 0.5").select("driver_id", "page_id")
+    return _p1(spark, sf, 0.5).select("driver_id", "page_id")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
