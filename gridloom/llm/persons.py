@@ -243,47 +243,47 @@ def _records(df: DataFrame, id_type: str, nations: DataFrame, article: bool) ->
     return df.mapInPandas(run, f"id {id_type}, {FIELDS}")
 
 
-def _pieces(block: Column, radius: int = RADIUS, bits: Column | None = None) -> Column:
-    """(block, piece number, piece) for each of the ``radius + 1`` pieces of the vector."""
-    width = -(-BITS // (radius + 1))
-    mask = (1 << width) - 1
-    bits = F.col("sv") if bits is None else bits
-    return F.array(*(F.concat_ws("|", block, F.lit(str(i)), F.shiftrightunsigned(bits, i * width).bitwiseAND(F.lit(mask)).cast("string")) for i in range(radius + 1)))
+def _piece_keys(when: Column, far: int, bits: Column, *block: Column) -> list[Column]:
+    """A struct (key, far, bits) for each of the ``far + 1`` pieces of a vector within a block, null where ``when`` is false."""
+    width = -(-BITS // (far + 1))
+    pieces = (F.shiftrightunsigned(bits, i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(far + 1))
+    return [_key(when, far, bits, *block, F.lit(i), p) for i, p in enumerate(pieces)]
+
+
+def _key(when: Column, far: int, bits: Column, *parts: Column) -> Column:
+    return F.when(when, F.struct(F.xxhash64(*parts).alias("key"), F.lit(far).cast("tinyint").alias("far"), bits.alias("bits")))
 
 
 def _keys(rows: DataFrame, side: str) -> DataFrame:
     """(id, key, far, bits): hashed join keys of every record with the radius and the vector of each, see the module's text.
 
-    Two keys of one hash only add candidates, which are scored like all others.
+    Two keys of one hash only add candidates, which are scored like all
+    others.  No higher-order functions, so all of it is compiled.
     """
-    none = F.array().cast("array<string>")
-    dated = (F.col("y") > 0) & (F.col("m") > 0) & (F.col("d") > 0)
-    date = F.concat_ws("-", "y", "m", "d")
-    whole = F.when(dated, _pieces(F.concat(F.lit("b"), date), WIDE)).otherwise(none)
+    y, sv, nation = F.col("y"), F.col("sv"), F.col("nation")
+    dated = (y > 0) & (F.col("m") > 0) & (F.col("d") > 0)
+    date = y * 10_000 + F.col("m") * 100 + F.col("d")
     mine, other = ("m", "n") if side == "a" else ("n", "m")
 
-    def by_initial(i: Column) -> Column:
-        year = F.when(F.col("y") > 0, _pieces(F.concat_ws("|", F.lit("e"), i, F.col("y")))).otherwise(none)
-        # no year on one side: the nation must agree or be unknown on one side, else no score suffices
-        known, undated = F.col("nation") > 0, F.col("y") == 0
-        nation = F.col("nation").cast("string")
-        lone = F.when(undated & known, F.concat(_pieces(F.concat_ws("|", F.lit(mine), i, nation)), _pieces(F.concat_ws("|", F.lit(f"{mine}z"), i)))).when(undated, _pieces(F.concat_ws("|", F.lit(f"{mine}a"), i))).otherwise(none)
-        to_lone = F.concat(_pieces(F.when(known, F.concat_ws("|", F.lit(other), i, nation)).otherwise(F.concat_ws("|", F.lit(f"{other}z"), i))), _pieces(F.concat_ws("|", F.lit(f"{other}a"), i)))
-        # an initial on one side: all names of that letter and date on the other
-        short = F.when(dated & (F.length("given") == 1), F.array(F.concat_ws("|", F.lit(f"{mine}i"), i, date))).otherwise(none)
-        long = F.when(dated, F.array(F.concat_ws("|", F.lit(f"{other}i"), i, date))).otherwise(none)
-        return F.concat(year, lone, to_lone, short, long)
-
-    same = F.when(F.length("given") > 1, F.array(F.concat_ws("|", F.lit("x"), "family", "given"))).otherwise(none)
-    texts = F.concat(F.flatten(F.transform("initials", by_initial)), same)
-    def hashed(texts: Column, far: Column, bits: Column) -> Column:
-        return F.transform(texts, lambda t: F.struct(F.xxhash64(t).alias("key"), far.cast("tinyint").alias("far"), bits.alias("bits")))
-
-    every = F.filter(texts, lambda t: t.rlike("^[mn]i"))
-    by_family = F.concat(hashed(whole, F.lit(WIDE), F.col("sv")), hashed(F.array_except(texts, every), F.lit(RADIUS), F.col("sv")), hashed(every, F.lit(BITS), F.col("sv")))
-    by_given = F.flatten(F.transform("gvs", lambda g: hashed(F.when(dated, _pieces(F.concat(F.lit("g"), date), GIVEN, g)).otherwise(none), F.lit(GIVEN), g)))
-    keyed = rows.select(F.col("id").alias(f"id_{side}"), F.inline(F.array_distinct(F.concat(by_family, by_given))))
-    return keyed.withColumnRenamed("bits", f"bits_{side}")
+    def keyed(df: DataFrame, keys: list[Column]) -> DataFrame:
+        return df.select(F.col("id").alias(f"id_{side}"), F.inline(F.array(*keys))).where("key is not null")
+
+    whole = _piece_keys(dated, WIDE, sv, F.lit("b"), date)
+    same = _key(F.length("given") > 1, RADIUS, sv, F.lit("x"), F.col("family"), F.col("given"))
+    by_name = keyed(rows, [*whole, same])
+    by_given = keyed(rows.where(dated).select("id", date.alias("date"), F.explode("gvs").alias("g")), _piece_keys(F.lit(True), GIVEN, F.col("g"), F.lit("g"), F.col("date")))
+    # no year on one side: the nation must agree or be unknown on one side, else no score suffices
+    known, undated, i = nation > 0, y == 0, F.col("i")
+    keys = _piece_keys(y > 0, RADIUS, sv, F.lit("e"), i, y)
+    for owner, who in ((mine, undated), (other, F.lit(True))):
+        own = owner == mine
+        keys += _piece_keys(who & known, RADIUS, sv, F.lit(owner), i, nation)
+        keys += _piece_keys(who & known if own else ~known, RADIUS, sv, F.lit(f"{owner}z"), i)
+        keys += _piece_keys(who & ~known if own else F.lit(True), RADIUS, sv, F.lit(f"{owner}a"), i)
+    # an initial on one side: all names of that letter and date on the other
+    keys += [_key(dated & (F.length("given") == 1), BITS, sv, F.lit(f"{mine}i"), i, date), _key(dated, BITS, sv, F.lit(f"{other}i"), i, date)]
+    by_initial = keyed(rows.withColumn("i", F.explode("initials")), keys)
+    return by_name.unionByName(by_given).unionByName(by_initial).withColumnRenamed("bits", f"bits_{side}")
 
 
 LEAST = 0.01  # the blocks lose no pair of this confidence or more for a clashing nation
