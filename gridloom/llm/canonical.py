@@ -6,7 +6,8 @@ first, length and positional filters, exact Jaccard); the best candidate
 within a length-dependent edit distance is kept, and a hint beside the name
 (the country of a place) decides between entries of one name.  A list of at
 most ``LIST_MOST`` entries is indexed on every worker, so the values are never
-shuffled for it; ``match_large`` does the same join for a list of any size.
+shuffled for it; a larger one is joined by shuffles, with the same result.  The
+list of nations that tells the country of a place must not exceed the bound.
 
 Defined results: null and blank values give no row; a value that no entry
 matches, and words that say nothing (``unknown``, ``n/a``, ``?``) give
@@ -22,7 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.editdist import osa
@@ -203,6 +204,11 @@ def read_list(entries: DataFrame, *columns: str, most: int = LIST_MOST) -> list:
     return rows
 
 
+def fits(entries: DataFrame, most: int) -> bool:
+    """Whether a list is short enough to be sent to every worker."""
+    return entries.limit(most + 1).count() <= most
+
+
 def match_large(values: DataFrame, names: DataFrame, sim: float, loose: bool) -> DataFrame:
     """(value, alias, sim, d) for a list of any size: the same join as shuffles in the JVM.
 
@@ -224,13 +230,17 @@ def match_large(values: DataFrame, names: DataFrame, sim: float, loose: bool) ->
     return pairs.withColumn("d", distance("value", "alias")).where("d >= 0")
 
 
+def nation_names(demonym: str | None, country: str | None, code: str | None) -> list[str]:
+    """Folded names of a nation: demonym, country, code and everyday names."""
+    return [flat(x) for x in (demonym, country, code, *OTHER_NAMES.get(code or "", "").split("|")) if x and flat(x)]
+
+
 def nation_index(rows: list) -> tuple[NameIndex, dict[str, int]]:
     """The index of a list of nations (demonym, country, code, everyday names) and the entry of each name."""
     entry: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: r["ref_id"]):
-        for x in (r["demonym"], r["country"], r["code"], *OTHER_NAMES.get(r["code"] or "", "").split("|")):
-            if x and flat(x):
-                entry.setdefault(flat(x), r["ref_id"])
+        for x in nation_names(r["demonym"], r["country"], r["code"]):
+            entry.setdefault(x, r["ref_id"])
     return NameIndex(list(entry), NATION_SIM, loose=False), entry
 
 
@@ -252,8 +262,72 @@ def _mapped(typed: DataFrame, choose) -> DataFrame:
     return typed.mapInPandas(run, "field string, rec_id bigint, ref_id bigint")
 
 
-def map_nationalities(typed: DataFrame, entries: DataFrame) -> DataFrame:
-    """(field, rec_id, ref_id) for each non-blank value of :func:`typed_values` rows."""
+def _aliased(entries: DataFrame, columns: tuple[str, ...], names, kept: tuple[str, ...] = ()) -> DataFrame:
+    """(alias, ref_id, kept ...): every folded name of every entry, read where the entries are; ``kept`` columns as texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rest = list(zip(*(b[c] for c in kept))) or [()] * len(b)
+            rows = [(a, r, *k) for r, k, values in zip(b["ref_id"], rest, zip(*(b[c] for c in columns))) for a in dict.fromkeys(names(*values))]
+            yield pd.DataFrame(rows, columns=["alias", "ref_id", *kept]).astype({"alias": "object", "ref_id": "int64", **dict.fromkeys(kept, "object")})
+
+    rows = entries.select(F.col("ref_id").cast("bigint"), *(F.col(c).cast("string").alias(c) for c in dict.fromkeys((*columns, *kept))))
+    return rows.where("ref_id is not null").mapInPandas(run, ", ".join(["alias string, ref_id bigint", *(f"{k} string" for k in kept)]))
+
+
+def _best(read: DataFrame, candidates: DataFrame, *order: Column) -> DataFrame:
+    """(field, rec_id, ref_id): the first candidate of each record by ``order``, 0 where it has none."""
+    best = candidates.groupBy("field", "rec_id").agg(F.min(F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), "ref_id"))["ref_id"].alias("ref_id"))
+    return read.select("field", "rec_id").distinct().join(best, ["field", "rec_id"], "left").select("field", "rec_id", F.coalesce("ref_id", F.lit(0)).alias("ref_id"))
+
+
+def _nationalities_large(typed: DataFrame, entries: DataFrame) -> DataFrame:
+    def read_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(f, k, i, form) for f, k, raw in zip(b["field"], b["rec_id"], b["raw"]) if (forms := clean_nationality(raw)) is not None for i, form in enumerate(forms or [None])]
+            yield pd.DataFrame(rows, columns=["field", "rec_id", "pos", "value"]).astype({"field": "object", "rec_id": "int64", "pos": "int32", "value": "object"})
+
+    read = typed.select("field", "rec_id", "raw").mapInPandas(read_forms, "field string, rec_id bigint, pos int, value string")
+    names = _aliased(entries, ("demonym", "country", "code"), nation_names).groupBy("alias").agg(F.min("ref_id").alias("ref_id"))
+    near = match_large(read.where("value is not null"), names, NATION_SIM, loose=False)
+    found = read.join(near, "value").join(names, "alias")
+    return _best(read, found, F.col("d"), F.col("pos"), -F.col("sim"))
+
+
+def _places_large(typed: DataFrame, entries: DataFrame, nations: DataFrame) -> DataFrame:
+    listed = read_list(nations, "ref_id", "demonym", "country", "code")
+    codes, (nation, entry), code_of = country_codes(listed), nation_index(listed), {r["ref_id"]: r["code"] for r in listed}
+
+    def read_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for f, k, raw, hint in zip(b["field"], b["rec_id"], b["raw"], b["hint"]):
+                if (place := clean_place(raw, codes)) is not None:
+                    hits = [m[0] for form in clean_nationality(hint) or () if (m := nation.match(form))]
+                    rows.append((f, k, *place, code_of[entry[min(hits)[2]]] if hits else ""))
+            yield pd.DataFrame(rows, columns=["field", "rec_id", "value", "region", "code", "hinted"]).astype({"rec_id": "int64", **dict.fromkeys(["field", "value", "region", "code", "hinted"], "object")})
+
+    @F.pandas_udf("boolean")
+    def elsewhere(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([bool(x) and osa(x, flat(y or ""), 3) > 3 for x, y in zip(a, b)])
+
+    read = typed.select("field", "rec_id", "raw", "hint").mapInPandas(read_places, "field string, rec_id bigint, value string, region string, code string, hinted string")
+    its = ("its_region", "its_code")
+    towns = _aliased(entries.select("ref_id", "place", "local_name", F.col("region").alias("its_region"), F.coalesce("code", F.lit("")).alias("its_code")), ("place", "local_name"), lambda *xs: [place_form(x) for x in xs if x and place_form(x)], its)
+    near = match_large(read.where("value <> ''"), towns, PLACE_SIM, loose=True)
+    found = read.join(near, "value").join(towns, "alias")
+    several = found.groupBy("field", "rec_id").agg((F.count_if(F.col("d") < 2) > 1).alias("several"))
+    found = found.join(several, ["field", "rec_id"])
+    home = F.when((F.col("code") == "") & F.col("several"), F.col("hinted")).otherwise("")
+    clash = (F.col("code") != "") & (F.col("code") != F.col("its_code"))
+    found = found.where(~clash | (F.col("d") == 0))  # a near name in another country is another town
+    return _best(read, found, F.col("d") + 2 * clash.cast("int") + elsewhere("region", "its_region").cast("int"), F.col("its_code") != home, -F.col("sim"))
+
+
+def map_nationalities(typed: DataFrame, entries: DataFrame, most: int = LIST_MOST) -> DataFrame:
+    """(field, rec_id, ref_id) for each non-blank value of :func:`typed_values` rows; lists beyond ``most`` entries are joined."""
+    if not fits(entries, most):
+        return _nationalities_large(typed, entries)
     index, entry = nation_index(read_list(entries, "ref_id", "demonym", "country", "code"))
 
     def choose(raw: str, _: str | None) -> int | None:
@@ -266,12 +340,14 @@ def map_nationalities(typed: DataFrame, entries: DataFrame) -> DataFrame:
     return _mapped(typed, choose)
 
 
-def map_places(typed: DataFrame, entries: DataFrame, nations: DataFrame) -> DataFrame:
-    """(field, rec_id, ref_id) for each non-blank birth place of :func:`typed_values` rows.
+def map_places(typed: DataFrame, entries: DataFrame, nations: DataFrame, most: int = LIST_MOST) -> DataFrame:
+    """(field, rec_id, ref_id) for each non-blank birth place of :func:`typed_values` rows; lists beyond ``most`` entries are joined.
 
     A hint is read as a nationality; where a place names no country, towns of
     one name in that country go before others.
     """
+    if not fits(entries, most):
+        return _places_large(typed, entries, nations)
     listed = read_list(nations, "ref_id", "demonym", "country", "code")
     codes = country_codes(listed)
     nation, nation_entry = nation_index(listed)
@@ -309,7 +385,6 @@ def country_codes(rows: list) -> dict[str, str]:
     """Folded name -> code of a list of nations."""
     out: dict[str, str] = {}
     for r in rows:
-        for x in (r["country"], r["demonym"], r["code"], *OTHER_NAMES.get(r["code"] or "", "").split("|")):
-            if x and flat(x):
-                out.setdefault(flat(x), r["code"])
+        for x in nation_names(r["country"], r["demonym"], r["code"]):
+            out.setdefault(x, r["code"])
     return out
