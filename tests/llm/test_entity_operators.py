@@ -100,6 +100,26 @@ def test_large_lists_use_the_join(spark):
         canonical.read_list(names, "alias", most=1)
 
 
+@pytest.mark.parametrize("kind", ["nationality", "place"])
+def test_both_ways_of_mapping_agree(spark, nations, kind):
+    pages, places = (spark.read.parquet(str(DATA / f"sf0.01/{t}.parquet")) for t in ("spark", "place_ref"))
+    if kind == "nationality":
+        typed = canonical.typed_values(pages, "page_id", "nationality_wiki", "n")
+        small, large = canonical.map_nationalities(typed, nations), canonical.map_nationalities(typed, nations, most=10)
+    else:
+        typed = canonical.typed_values(pages, "page_id", "birth_place_wiki", "p", hint="nationality_wiki")
+        small, large = canonical.map_places(typed, places, nations), canonical.map_places(typed, places, nations, most=10)
+    assert rows(large) == rows(small) and small.count() > 100
+
+
+def test_list_beyond_the_bound(spark):
+    entries = spark.range(60_000).selectExpr("id + 1 as ref_id", "concat('Nation', conv(id * 7919 + 40000000, 10, 36), 'land') as demonym", "cast(null as string) as country", "cast(null as string) as code")
+    some = entries.where("ref_id % 20000 = 1").selectExpr("ref_id as rec_id", "demonym as v")
+    typed = canonical.typed_values(some.unionByName(spark.createDataFrame([(0, "zzz")], "rec_id bigint, v string")), "rec_id", "v", "v")
+    assert not canonical.fits(entries, canonical.LIST_MOST)
+    assert rows(canonical.map_nationalities(typed, entries), "rec_id", "ref_id") == [(0, 0), (1, 1), (20001, 20001), (40001, 40001)]
+
+
 # --- spellings of names -------------------------------------------------------------------------------------------
 
 SAME = [
@@ -238,3 +258,20 @@ def test_nothing_else_imports_the_package():
 
     root = Path(queries.__file__).parent.parent
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "gridloom.llm" in p.read_text()]
+
+
+def test_facts_in_long_sentences():
+    far = "born in a town " + "with a long history of races and of cars " * 15 + "on 3. May 1970"
+    assert len(far) > 600 and persons.parse_date(persons.facts(f"Ann, {far}, is a British racing driver.")[0]) == (1970, 5, 3)
+    assert persons.facts("She was born in Leeds. Her first race was in 1984.") == ("", "")
+    assert persons.facts("Ann was born at the age of 5. Karting 1984") == ("", "") and persons.facts("x" * 100_000) == persons.facts(None) == ("", "")
+
+
+def test_doubtful_pairs_have_confidences(spark, nations):
+    a = spark.createDataFrame([("a", "Ann Vuvurgetek", None, "British"), ("b", "Bob Tirdanetini", "1970-05-03", "British")], "id string, name string, date string, nationality string")
+    b = spark.createDataFrame([(1, "Ann Vuvurgetek", None, "Italian", None), (2, "Bob Tirdanetini", "1970-05-03", "British", None)], "id bigint, name string, date string, nationality string, text string")
+    got = {(r["id_a"], r["id_b"]): r["confidence"] for r in persons.match(a, b, nations, least=persons.LEAST).collect()}
+    assert got["b", 2] > 0.99 and 0.01 <= got["a", 1] < 0.5
+    assert {(r["id_a"], r["id_b"]) for r in persons.match(a, b, nations).collect()} == {("b", 2)}
+    with pytest.raises(ValueError):
+        persons.match(a, b, nations, least=0.001)

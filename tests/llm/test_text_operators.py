@@ -96,6 +96,42 @@ def test_the_tree_repeats_its_table():
     assert right == len(lines)
 
 
+def test_lone_hash_lines_are_decided_by_length_and_neighbours(monkeypatch):
+    long = "the season ended early because the sponsor withdrew its support " * 3
+    text = f"{long}\n\n# Early life ##\n\n{long}\n\n# {long}\n\n{long}\n\n# One\n# Two\n\nEnd of it."
+    want = [("heading", "Early life"), ("list_item", long.strip()), ("list_item", "One"), ("list_item", "Two")]
+    assert markup.dialect(text) == "either" and kinds(text) == want
+    assert dict(kinds(text + "\n\n== A ==\n[[b]]"))["list_item"]  # in a wiki text they are items
+    plain = markup.features
+    monkeypatch.setattr(markup, "features", lambda mark, *_: plain(mark, (0, 0.0), (0, 0.0), (0, 0.0)))
+    markup._kind.cache_clear()
+    assert kinds(text) != want  # without words, link density and neighbours the tree cannot tell
+    markup._kind.cache_clear()
+
+
+def test_links_among_links_are_told_by_their_neighbours():
+    row = lambda now, before, after: dtree.predict(markup.tree(), markup.features("hash", now, before, after))
+    assert row((3, 1.0), (4, 1.0), (3, 1.0)) == "list_item" and row((3, 1.0), (28, 0.0), (40, 0.0)) == "heading" and row((0, 0.0), (9, 0.0), (9, 0.0)) == "drop"
+
+
+def test_box_lines():
+    assert markup.box_lines("[[A|B]] & co<br>{{nowrap|C}}<br><!-- x -->") == ["B & co", "C"] and markup.box_lines("plain") == markup.box_lines(None) == []
+
+
+def test_nesting_has_no_bound():
+    deep = "x"
+    for i in range(40):
+        deep = f"{{{{nowrap|{deep}}}}}"
+    assert markup.box_lines(deep) == ["x"] and kinds(f"== {deep} ==\n[[a]]") == [("heading", "x")]
+    assert kinds("## " + "**_" * 9 + "a" + "_**" * 9 + "\n\n[b](c)") == [("heading", "a")]
+
+
+def test_dialects():
+    signs = {"[[b]] c": "wiki", "<ref>x</ref>": "wiki", "a\n---": "markdown", "a\n===\n": "markdown", "```\nx": "markdown", "1. x": "markdown", "<P>x": "html", "\\emph{x}": "latex", "x = y": "plain", "# x": "either", "*x": "either"}
+    assert {t: markup.dialect(t) for t in signs} == signs
+    assert markup.dialect("a " * 50_000 + "\n===\nb") == "markdown"
+
+
 def test_markup_operators(spark):
     df = spark.createDataFrame([(1, "== A ==\n== A ==", "[[x]]<br>y"), (2, None, None), (3, "", "plain"), (None, "== B ==", "[[z]]")], "page_id bigint, text string, teams_wiki string").selectExpr("*", "1 as k", "2 as t", "'q' as content")
     assert rows(markup.structure(df, "page_id", "text")) == [(1, "text", "heading", "A")]
@@ -152,6 +188,25 @@ def test_encode_corpus(spark):
     assert encode.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_rows_of_one_id_keep_their_own_texts(spark):
+    texts = [(7, "a b c " * 300), (7, "d e f " * 300), (7, "a b c " * 300), (7, None), (8, "")]
+    got = encode.encode_corpus(spark.createDataFrame(texts, "doc_id bigint, text string"), "doc_id", "text").collect()
+    assert sorted((r["doc_id"], list(r["ids"])) for r in got) == sorted((k, encode.encoding().encode_ordinary(t) if t else []) for k, t in texts)
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.text(alphabet="ab é字😀\n", max_size=400), min_size=1, max_size=6))
+def test_texts_are_cut_alike_in_any_company(texts):
+    import numpy as np
+
+    raw = [t.encode() for t in texts]
+    ends = np.cumsum([len(x) for x in raw])
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    text, start, end = encode.cut(data, ends - [len(x) for x in raw], ends)
+    for i, t in enumerate(texts):
+        assert [data[a:b].tobytes().decode() for k, a, b in zip(text, start, end) if k == i] == encode.chunks(t)
+
+
 def test_encode_corpus_on_the_table(spark):
     docs = spark.read.parquet(str(DATA / "sf0.001/documents.parquet"))
     enc = encode.encoding()
@@ -168,9 +223,28 @@ def test_scores_separate_marks_from_common_words(spark):
     got = {(r["rec_key"], r["term"]): r for r in distinctive.score_terms(df, "k", "t").collect()}
     assert got["3", "falcon"]["score"] > 0.99 and got["3", "falcon"]["tf"] == 9 and got["3", "falcon"]["df"] == 1
     assert len({round(r["score"], 9) for (k, t), r in got.items() if t == "the"}) == 1 and got["1", "the"]["df"] == 40
+    assert all(r["score"] < 0.03 for (k, t), r in got.items() if t != "falcon") and all(r["score"] == pytest.approx(r["elite"] / r["df"]) for r in got.values())
     assert distinctive.score_terms(df.limit(0), "k", "t").count() == 0
 
 
+def test_terms_named_once_share_their_score(spark):
+    df = spark.createDataFrame([(str(i), "team " + ("rare " if i < 3 else "")) for i in range(60)], "k string, t string")
+    got = {(r["term"], round(r["score"], 6)) for r in distinctive.score_terms(df, "k", "t", by_the_way=0).collect()}
+    assert got == {("rare", round(1 / 3, 6)), ("team", round(1 / 60, 6))}
+
+
+def test_the_score_finds_the_cases(spark):
+    """Recall and precision of the score by itself, without the exact check that follows."""
+    from gridloom.llm import queries
+
+    rows_ = queries.p6_scores(spark, str(DATA / "sf0.01")).toPandas()
+    case = ((rows_.field == "teams") & rows_.df.between(2, 3)) | ((rows_.field != "teams") & (rows_.tf >= 5) & (rows_.df <= 3))
+    picked = rows_.score >= queries.MARKS_FEW
+    for field in ("teams", "first_1000_words"):
+        own = rows_.field == field
+        assert (picked & case & own).sum() == (case & own).sum() > 0 and (picked & case & own).sum() > 0.5 * (picked & own).sum()
+
+
 def test_em_finds_planted_rates():
     import numpy as np
 
@@ -224,6 +298,20 @@ def test_crossover_keeps_every_item():
     assert packing.evolve([], 10, [], 0) == []
 
 
+@pytest.mark.parametrize("capacity", [2048, 700])
+def test_the_genetic_search_works_and_ends_no_worse_than_best_fit(capacity):
+    rng = random.Random(9)
+    sizes = [rng.randint(1, 600) for _ in range(400)]
+    found, crossings = packing.search(sizes, capacity, [], 3)
+    bins, room = [], []
+    packing.best_fit(packing.decreasing(range(400), sizes), sizes, bins, room, capacity)
+    assert crossings > 0 and max(found) + 1 <= len(bins)
+    _, left = packing._of_assignment(found, sizes, capacity)
+    assert min(left) >= 0 and len(left) == max(found) + 1
+    start = packing.search(sizes, capacity, [], 3, generations=0)[0]
+    assert packing.fitness(left, capacity) > packing.fitness(packing._of_assignment(start, sizes, capacity)[1], capacity)
+
+
 def test_token_sizes(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id bigint, text string")
     assert rows(packing.token_sizes(df, "doc_id", "text")) == [(1, 2), (2, 0), (3, 0)]
@@ -263,6 +351,25 @@ def test_segments(model):
     assert all(0.0 <= s[3] <= 1.0 for s in lang.segments(f"{EN} {DE}", model))
 
 
+def test_texts_walked_together_and_alone_agree(spark, model, monkeypatch):
+    texts = [r["text"] for r in spark.read.parquet(str(DATA / "sf0.01/documents.parquet")).limit(300).collect()] + ["", None, EN * 50, f"{EN}\n{FR} {DE}", "12:30", "@a #b", "see www.x.org " + DE]
+    together = lang.segment_all(texts, model)
+    monkeypatch.setattr(lang, "TOGETHER", 10**9)
+    assert lang.segment_all(texts, model) == together
+    monkeypatch.setattr(lang, "CHARS", 500)
+    assert lang.segment_all(texts, model) == together == [lang.segments(t, model) for t in texts]
+
+
+def test_the_family_is_decided_first():
+    import numpy as np
+
+    scores = np.zeros(8)
+    scores[0], scores[1 + lang.LANGUAGES.index("fr")], scores[1 + lang.LANGUAGES.index("nl")] = 0.1, 9.0, 0.2
+    assert lang.LANGUAGES[lang.choose(scores)] == "nl"  # the best of its family, though another language scores higher
+    scores[0] = -0.1
+    assert lang.LANGUAGES[lang.choose(scores)] == "fr"
+
+
 def test_held_out_accuracy(spark, model):
     seen = {r["text"] for r in spark.read.parquet(str(DATA / "sf0.01/documents.parquet")).collect()}
     test = [r for r in spark.read.parquet(str(DATA / "sf0.1/documents.parquet")).limit(3000).collect() if r["text"] and r["text"] not in seen and r["lang"] in lang.LANGUAGES]
