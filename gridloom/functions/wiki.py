@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,7 +129,6 @@ def without_templates(text: Column | str) -> Column:
     There are as many rounds as templates are nested in depth; where single
     braces beside them made a new one, one round for each that is left.
     """
-    t = as_col(text)
     rounds = lambda x, n: F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), x, lambda acc, _: F.regexp_replace(acc, TEMPLATE, ""))
     zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
@@ -135,9 +136,15 @@ def without_templates(text: Column | str) -> Column:
         now = F.when(brace == "{{", acc["now"] + 1).otherwise(F.greatest(acc["now"] - 1, F.lit(0)))
         return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
 
-    depth = F.aggregate(F.regexp_extract_all(t, F.lit(r"\{\{|\}\}"), F.lit(0)), zero, step)["most"]
-    first = F.when(t.rlike(TEMPLATE), rounds(t, depth)).otherwise(t)
-    return F.when(first.rlike(TEMPLATE), rounds(first, F.size(F.regexp_extract_all(first, F.lit(r"\}\}"), F.lit(0))))).otherwise(first)
+    depth = lambda x: F.aggregate(F.regexp_extract_all(x, F.lit(r"\{\{|\}\}"), F.lit(0)), zero, step)["most"]
+    left = lambda x: F.size(F.regexp_extract_all(x, F.lit(r"\}\}"), F.lit(0)))
+    nested = lambda n: lambda x: F.when(x.rlike(TEMPLATE), rounds(x, n(x))).otherwise(x)
+    return _once(_once(as_col(text), nested(depth)), nested(left))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that it names several times and that is worked out once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def biography(text: Column | str, words: int = 1000) -> Column:
