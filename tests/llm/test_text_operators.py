@@ -233,6 +233,33 @@ def test_terms_named_once_share_their_score(spark):
     assert got == {("rare", round(1 / 3, 6)), ("team", round(1 / 60, 6))}
 
 
+def _p6_tables(spark, folder, texts, teams):
+    spark.createDataFrame(texts, "driver_id string, first_1000_words string").write.parquet(str(folder / "final_gg.parquet"))
+    spark.createDataFrame(teams, "rec_id long, teams string").write.parquet(str(folder / "drivers_teams.parquet"))
+    return str(folder)
+
+
+def test_counts_decide_the_scores_of_teams(spark, tmp_path):
+    from gridloom.llm import queries
+
+    teams = [(i, "common " * (9 if i == 5 else i >= 20) + ("rare " if i < 3 else "") + ("four " if i < 4 else "")) for i in range(60)]
+    folder = _p6_tables(spark, tmp_path, [("d", "word")], teams)
+    got = {(r["rec_key"], r["term"]): r for r in queries.p6_scores(spark, folder).where("field = 'teams'").collect()}
+    assert got["5", "common"]["elite"] > 0.9 and all(got[str(i), "common"]["elite"] < 0.1 for i in range(20, 60))
+    assert {got[str(i), "rare"]["score"] for i in range(3)} == {round(1 / 3, 6)} and all(0.1 < got[str(i), "four"]["score"] < 0.25 for i in range(4))
+    assert rows(queries.p6_found(spark, folder)) == [("teams", str(i), "rare") for i in range(3)]
+
+
+def test_no_case_is_lost_where_records_are_few(spark, tmp_path):
+    from gridloom.llm import queries
+
+    texts = [(str(i), "one " * (i == 0) + "four " * 4 + "five " * 5 + "many " * (6 + i)) for i in range(3)]
+    folder = _p6_tables(spark, tmp_path, texts, [(1, "x"), (2, "x y"), (3, "x y z")])
+    want = [("first_1000_words", str(i), t) for i in range(3) for t in ("five", "many")]
+    want += [("teams", "1", "x"), ("teams", "2", "x"), ("teams", "2", "y"), ("teams", "3", "x"), ("teams", "3", "y")]
+    assert rows(queries.p6_found(spark, folder)) == want
+
+
 def test_the_score_finds_the_cases(spark):
     """Recall and precision of the score by itself, without the exact check that follows."""
     from gridloom.llm import queries
